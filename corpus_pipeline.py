@@ -4,21 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import quality
+from weftline.llm import bpe, mixing, pii, quality, queries, simhash
 from weftline.llm._shared import table, write_table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a base rule or lie far from their group's centre go."""
     return quality.keep_good(docs)
 
 
-STAGES = [("quality", good_quality)]
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates one stays."""
+    return simhash.keep_first(docs)
 
-#: No stage but the base rules can be written in SQL; tests hold the pipeline against a brute-force version.
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span becomes its kind in brackets."""
+    return pii.redact(docs, pii.fit(spark))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their weights: a document may come twice or thrice, in part, or not at all."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every mixed document, and the digest of what they decode to."""
+    vocabulary = queries.vocabulary()
+    df = bpe.decode(bpe.encode(docs, vocabulary, ["doc_id", "lang", "source"]), vocabulary)
+    return df.selectExpr("doc_id", "lang", "source", "cast(size(ids) as bigint) as n_tokens", "ids", "sha2(bytes, 256) as decoded_sha256")
+
+
+STAGES = [("quality", good_quality), ("simhash", one_of_each), ("pii", without_personal_data), ("mixing", mixed), ("bpe", tokens)]
+
+#: SQL can express none of these stages whole; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over the documents table, each result written and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import bpe, licenses, mixing, pii, quality, simhash
 from ._shared import table
 
 
@@ -12,8 +13,38 @@ def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(spark)).select("doc_id", "pii.*")
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.cluster(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+
+
+def vocabulary(path: str | None = None) -> bpe.Vocabulary:
+    return bpe.Vocabulary.load(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary(), ["doc_id"])
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
+    "op2_pii_boosting": op2_pii_boosting,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_simhash_groups": op6_simhash_groups,
+    "op9_bpe_roundtrip": op9_bpe_roundtrip,
+    "op10_license_scan": op10_license_scan,
 }
 
 #: DuckDB SQL where it can express the whole result.
