@@ -46,14 +46,15 @@ def fingerprint_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def segment_counts(fp: Column, segment_bits: int = 4) -> Column:
-    """Bit counts of the segments, each in its segment's place: the first steps of counting bits in parallel."""
-    masks = {2: 0x5555555555555555, 4: 0x3333333333333333, 8: 0x0F0F0F0F0F0F0F0F}
-    width = 1
-    while width < segment_bits:
-        mask = F.lit(masks[2 * width])
-        fp = fp.bitwiseAND(mask) + F.shiftrightunsigned(fp, width).bitwiseAND(mask)
-        width *= 2
-    return fp
+    """Bit counts of the segments of 4 or 8 bits, each in its segment's place: the first steps of counting bits in parallel.
+
+    Pairs are counted by their sum and carry, since their top count may reach the sign bit.
+    """
+    ones, twos, fours = F.lit(0x5555555555555555), F.lit(0x3333333333333333), F.lit(0x0F0F0F0F0F0F0F0F)
+    a, b = fp.bitwiseAND(ones), F.shiftrightunsigned(fp, 1).bitwiseAND(ones)
+    pairs = a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
+    counts = pairs.bitwiseAND(twos) + F.shiftrightunsigned(pairs, 2).bitwiseAND(twos)
+    return counts if segment_bits == 4 else counts.bitwiseAND(fours) + F.shiftrightunsigned(counts, 4).bitwiseAND(fours)
 
 
 def near_pairs(nodes: DataFrame, segment_bits: int = 4) -> DataFrame:
@@ -62,7 +63,7 @@ def near_pairs(nodes: DataFrame, segment_bits: int = 4) -> DataFrame:
     top = segment_bits
     steps = []
     for s in range(n):
-        one = (1 << (s * segment_bits)) - (1 << 64 if s * segment_bits == 63 else 0)
+        one = 1 << (s * segment_bits)
         count = F.shiftrightunsigned("cell", s * segment_bits).bitwiseAND(F.lit((1 << segment_bits) - 1))
         steps.append(F.when(count > 0, F.struct(F.lit(-1).alias("step"), F.lit(s).alias("seg"), (F.col("cell") - F.lit(one)).alias("at"))))
         steps.append(F.when(count < top, F.struct(F.lit(1).alias("step"), F.lit(s).alias("seg"), (F.col("cell") + F.lit(one)).alias("at"))))
@@ -78,24 +79,28 @@ def near_pairs(nodes: DataFrame, segment_bits: int = 4) -> DataFrame:
 
 
 def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Adds ``fingerprint`` (16 hexadecimal digits), ``component_id`` and ``text_hash`` in place of the text, which passes through Python once."""
+    """Adds ``fingerprint`` (16 hexadecimal digits), ``component_id``, and ``group`` (the component's least fingerprint) and
+    ``text_hash`` in place of the text, which passes through Python once.
+
+    Fingerprints are the nodes, not ids: an id may be repeated with other texts.
+    """
     rest = [c for c in docs.columns if c != text]
     prints = write_table(docs.select(*rest, fingerprint_udf(F.col(text)).alias("_fp"), F.xxhash64(text).alias("text_hash")), "fingerprints")
-    nodes = write_table(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min(doc_id).alias("node")), "nodes")
-    roots = components(near_pairs(nodes.filter("node is not null")))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    nodes = write_table(prints.groupBy(F.col("_fp").alias("node")).agg(F.min(doc_id).alias("least")), "nodes")
+    roots = components(near_pairs(nodes.select("node", F.col("node").alias("fp"))))
+    grouped = write_table(nodes.join(roots, "node", "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("group"), "least"), "groups")
+    named = grouped.select("fp", "group").join(grouped.groupBy("group").agg(F.min("least").alias("component_id")), "group")
     joined = prints.join(named, prints["_fp"] == named["fp"])
-    return joined.select(*rest, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+    return joined.select(*rest, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "group", "text_hash")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group: that whose id names the component, and of rows that repeat its id one.
 
-    Rows without any id form groups by fingerprint. The texts are shuffled once, to meet the narrow list of who stays.
+    A group without any id keeps one row too. The texts are shuffled once, to meet the narrow list of who stays.
     """
     groups = cluster(docs.select("doc_id", "text"))
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), F.col("fingerprint")))
-    first = groups.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
     first = write_table(first.select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash")), "first")
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
     kept = keyed.join(first.select("_id", F.col("_hash").alias("_h")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
