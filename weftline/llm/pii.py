@@ -26,7 +26,7 @@ from .boosting import Forest, train
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "secret"]
-FEATURES = ["kind", "length", "digits", "letters", "uppers", "others", "entropy", "groups", "luhn", "hexes", "cue", "any_cue", "before", "after", "form"]
+FEATURES = ["kind", "length", "digits", "letters", "uppers", "others", "entropy", "groups", "luhn", "hexes", "cue", "any_cue", "before", "after", "form", "spaces", "dots", "hyphens"]
 SPANS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,7 +40,7 @@ _CUES = {
     "phone": re.compile(r"phone|tel|call|mobile|fax", re.I), "secret": re.compile(r"password|passwd|pwd|secret|token|key", re.I),
 }
 _MORE = [
-    ("email", 0, re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[A-Za-z0-9-]{2,63})+", re.I), re.compile(r"[\[(]\s?at\s?[\])]", re.I)),
+    ("email", 0, re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[A-Za-z0-9-]{2,63})+", re.I), re.compile(r"[\[(]\s?at\s?[\])]", re.I)),
     ("ip", 0, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), re.compile(r":[0-9A-Fa-f]")),
     ("phone", 0, re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\)\s?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"), None),
     ("card", 0, re.compile(r"(?<![0-9])[0-9](?:[ ./-]?[0-9]){12,18}(?![0-9])"), None),
@@ -102,7 +102,7 @@ def features(text: str, span: tuple[str, int, int]) -> list[float]:
     edge = lambda c: 0.0 if not c or c.isspace() else 2.0 if c.isalnum() else 1.0
     return [
         float(KINDS.index(kind)), float(n), digits / n, letters / n, sum(c.isupper() for c in s) / n, (n - digits - letters) / n, entropy, float(len(re.findall(r"[A-Za-z0-9]+", s))), float(luhn(_digits(s))),
-        sum(c in "0123456789abcdefABCDEF" for c in s) / n, float(bool(_CUES[kind].search(before))), float(any(c.search(before) for c in _CUES.values())), edge(text[a - 1 : a]), edge(text[b : b + 1]), form,
+        sum(c in "0123456789abcdefABCDEF" for c in s) / n, float(bool(_CUES[kind].search(before))), float(any(c.search(before) for c in _CUES.values())), edge(text[a - 1 : a]), edge(text[b : b + 1]), form, float(s.count(" ")), float(s.count(".")), float(s.count("-")),
     ]
 
 
@@ -159,7 +159,7 @@ def _sample_text(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         ("secret", lambda: r.choice([hexes(18), hexes(32), alnum(20), alnum(40), hexes(40), alnum(12) + r.choice("!$%") + num(2)])),
     ]
     false = [
-        ("email", lambda: f"{word()} (at) {word()} {word()}. {word()}"),
+        ("email", lambda: f"{word()} (at) {word()}.{word()}{word()}{word()}"),
         ("ip", lambda: ":".join(num(2) for _ in range(4))),
         ("phone", lambda: f"{num(3)} {num(3)} {num(4)}"),
         ("card", lambda: num(r.choice([13, 14, 17]))),
