@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, pii, quality, simhash
+from . import bpe, embeddings, langid, licenses, mixing, pii, quality, simhash, urls
 from ._shared import table
 
 
@@ -18,6 +18,14 @@ def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(spark)).select("doc_id", "pii.*")
 
 
+def op3_url_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -26,6 +34,11 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit_text(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "pages"), model)
+
+
 def vocabulary(path: str | None = None) -> bpe.Vocabulary:
     return bpe.Vocabulary.load(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -41,8 +54,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
     "op2_pii_boosting": op2_pii_boosting,
+    "op3_url_boosting": op3_url_boosting,
+    "op4_vector_links": op4_vector_links,
     "op5_source_mixing": op5_source_mixing,
     "op6_simhash_groups": op6_simhash_groups,
+    "op8_language_fusion": op8_language_fusion,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_license_scan": op10_license_scan,
 }
