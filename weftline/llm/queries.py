@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, langid, licenses, mixing, pii, quality, simhash, urls
+from . import bpe, embeddings, langid, licenses, mixing, passages, pii, quality, simhash, urls
 from ._shared import table
 
 
@@ -34,6 +34,10 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
 def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit_text(table(spark, sf_dir, "documents"))
     return langid.identify(table(spark, sf_dir, "pages"), model)
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_vector_links": op4_vector_links,
     "op5_source_mixing": op5_source_mixing,
     "op6_simhash_groups": op6_simhash_groups,
+    "op7_shared_passages": op7_shared_passages,
     "op8_language_fusion": op8_language_fusion,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_license_scan": op10_license_scan,
