@@ -1,10 +1,11 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are split into pre-tokens in chunks of a few megabytes. A chunk emits each of its distinct pre-tokens once, and
-for each text the positions' codes in the chunk's own list of them. The distinct pre-tokens of all chunks meet in one
-shuffle, where each is encoded once; its ids are joined back to the chunks that hold it, and a chunk's texts are put
-together by position. So what is shuffled follows the distinct words of chunks and a compressed code for each position,
-never a row for each position, and a word that every text holds comes once for each chunk.
+Texts are split into pre-tokens in chunks of a few megabytes. A chunk emits each of its distinct pre-tokens once, dealt
+to shards by a hash of the word, and for each text the positions' codes in the chunk's own list of words. A shard gets
+the words of all chunks, encodes each distinct one once, and answers every chunk with the ids of its words; the answers
+join the chunk's texts, which are put together by position. So what is shuffled follows the distinct words of chunks
+and a compressed code for each position, never a row for each position, and a word that every text holds comes once for
+each chunk. Words and codes travel packed: a chunk has a row for each shard, not for each word.
 
 A chunk is named by a digest of what it holds. If the input's rows came in other order when they are read for the
 second time, the names would differ, and encoding stops with an error instead of mixing chunks up: pass a table at rest.
@@ -18,6 +19,7 @@ of their own; an empty table gives no rows; the columns named in ``keep`` are pa
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -52,11 +54,33 @@ def _encoder(vocabulary: Vocabulary):
     return tiktoken.Encoding("own", pat_str=vocabulary.pattern, mergeable_ranks=vocabulary.ranks(), special_tokens={})
 
 
+PLAIN = 0x250  # code points below are Latin
+
+
 @lru_cache(maxsize=2)
 def _pieces(pattern: str):
+    """A function from a text to its pre-tokens.
+
+    Latin texts go through the standard library's matcher, several times faster, with the pattern's classes of letters,
+    numbers and white space written out for those code points; all others go through ``regex``.
+    """
     import regex
 
-    return regex.compile(pattern).findall
+    full = regex.compile(pattern).findall
+
+    def members(name: str) -> str:
+        is_in = regex.compile(name).match
+        return "".join(f"\\u{i:04x}" for i in range(PLAIN) if is_in(chr(i)))
+
+    letters, numbers, spaces = members(r"\p{L}"), members(r"\p{N}"), members(r"\s")
+    mixed = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]")
+    plain = re.compile(mixed.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")).findall
+    top = chr(PLAIN)
+
+    def find(text: str) -> list[str]:
+        return plain(text) if not text or max(text) < top else full(text)
+
+    return find
 
 
 @lru_cache(maxsize=2)
@@ -72,10 +96,20 @@ def _byte_table(vocabulary: Vocabulary):
     return np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
-class _Codes(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+def _pack(values) -> bytes:
+    """Whole numbers below 2**32, byte by byte in planes, compressed."""
+    import numpy as np
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.asarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(packed: bytes):
+    import numpy as np
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
 def _gather(flat, starts, sizes, which):
@@ -100,81 +134,117 @@ def _chunks(batches: Iterator, size: int) -> Iterator[tuple]:
                 begin, held = i + 1, 0
 
 
-def _coded(texts: list[str], pattern: str) -> tuple[bytes, _Codes, list[bytes]]:
-    """The chunk's name, its words by code, and the positions' codes of each text, packed."""
-    import numpy as np
+def _coded(texts: list[str], pattern: str) -> tuple[bytes, dict[str, int], list[list[str]]]:
+    """The chunk's name, its words by code in the order of their first place, and each text's pieces."""
     from xxhash import xxh3_128
 
-    name, codes, packed, find = xxh3_128(), _Codes(), [], _pieces(pattern)
+    name, seen, pieces, find = xxh3_128(), {}, [], _pieces(pattern)
     for x in texts:
         raw = x.encode()
         name.update(len(raw).to_bytes(8, "little") + raw)
-        at = np.array([codes[p] for p in find(x)], dtype=np.uint32)
-        kind = np.uint8 if len(codes) < 1 << 8 else np.uint16 if len(codes) < 1 << 16 else np.uint32
-        packed.append(bytes([np.dtype(kind).itemsize]) + zlib.compress(at.astype(kind).tobytes(), 1))
-    return name.digest(), codes, packed
+        pieces.append(find(x))
+        seen.update(dict.fromkeys(pieces[-1]))
+    return name.digest(), {w: i for i, w in enumerate(seen)}, pieces
+
+
+def _word_rows(batches: Iterator, pattern: str, size: int, shards: int) -> Iterator:
+    """(shard, chunk, codes, sizes, words) for the words that each chunk has for each shard."""
+    import pyarrow as pa
+    import zstandard
+
+    for *_, texts in _chunks(batches, size):
+        name, codes, _ = _coded(texts, pattern)
+        dealt: list[tuple[list, list]] = [([], []) for _ in range(shards)]
+        for w, c in codes.items():
+            raw = w.encode()
+            own = dealt[zlib.crc32(raw) % shards]
+            own[0].append(c)
+            own[1].append(raw)
+        zip_words = zstandard.ZstdCompressor(level=3).compress
+        rows = [(i, name, _pack(c), _pack([len(x) for x in w]), zip_words(b"".join(w))) for i, (c, w) in enumerate(dealt) if c]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], names=["shard", "chunk", "codes", "sizes", "words"])
+
+
+def _answers(batches: Iterator, vocabulary: Vocabulary) -> Iterator:
+    """(chunk, codes, sizes, ids) for each row of words; rows come sorted by shard, and a word is encoded once in its shard."""
+    import pyarrow as pa
+    import zstandard
+
+    encode_word, unzip = _encoder(vocabulary).encode_ordinary, zstandard.ZstdDecompressor().decompress
+    last, known = None, {}
+    for batch in batches:
+        sizes_out, ids_out = [], []
+        for shard, sizes, words in zip(*(batch.column(c).to_pylist() for c in ("shard", "sizes", "words")), strict=True):
+            if shard != last:
+                last, known = shard, {}
+            raw, at, flat, counts = unzip(words), 0, [], []
+            for n in _unpack(sizes).tolist():
+                w = raw[at : at + n]
+                at += n
+                ids = known.get(w)
+                if ids is None:
+                    ids = known[w] = encode_word(w.decode())
+                flat += ids
+                counts.append(len(ids))
+            sizes_out.append(_pack(counts))
+            ids_out.append(_pack(flat))
+        yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("codes"), pa.array(sizes_out, pa.binary()), pa.array(ids_out, pa.binary())], names=["chunk", "codes", "sizes", "ids"])
+
+
+def _position_rows(batches: Iterator, pattern: str, size: int) -> Iterator:
+    """(chunk, row, codes): the codes of each text's positions."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch, a, b, texts in _chunks(batches, size):
+        name, codes, pieces = _coded(texts, pattern)
+        packed = [_pack(np.fromiter(map(codes.__getitem__, p), np.uint32, len(p))) for p in pieces]
+        yield pa.RecordBatch.from_arrays([pa.array([name] * (b - a), pa.binary()), batch.column("_row").slice(a, b - a), pa.array(packed, pa.binary())], names=["chunk", "_row", "codes"])
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", chunk_chars: int = 4_000_000) -> DataFrame:
-    """The columns of ``keep`` and ``ids``: array<int>, for every row of a table at rest."""
+def _together(left, right):
+    """A chunk's texts as ids: positions' codes looked up in what the shards answered."""
+    import numpy as np
+    import pyarrow as pa
+
+    codes = [_unpack(x) for x in right.column("codes").to_pylist()]
+    counts = [_unpack(x) for x in right.column("sizes").to_pylist()]
+    flat = [_unpack(x).astype(np.int32) for x in right.column("ids").to_pylist()]
+    n = 1 + max((int(c.max()) for c in codes if len(c)), default=-1)
+    starts, sizes, offset = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+    for c, k, f in zip(codes, counts, flat, strict=True):  # chunks alike share a name, and are answered alike
+        k = k.astype(np.int64)
+        starts[c], sizes[c] = offset + np.cumsum(k) - k, k
+        offset += len(f)
+    flat = np.concatenate(flat) if flat else np.array([], np.int32)
+    parts, ends = [], [0]
+    for packed in left.column("codes").to_pylist():
+        at = _unpack(packed).astype(np.int64)
+        if len(at) and at.max() >= n:
+            raise RuntimeError("the input's rows changed between two reads; write it as a table first")
+        parts.append(_gather(flat, starts, sizes, at))
+        ends.append(ends[-1] + len(parts[-1]))
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.array([], np.int32), pa.int32()))
+    return left.select(["_row"]).append_column("ids", ids)
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", chunk_chars: int = 4_000_000, shards: int = 256) -> DataFrame:
+    """The columns of ``keep`` and ``ids``: array<int>, for every row of a table at rest.
+
+    A task holds the dictionary of one shard, so ``shards`` times a task's memory must hold the corpus's distinct words:
+    raise it for corpora beyond some terabytes.
+    """
     pattern = vocabulary.pattern
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("_none"))
     source = docs.select(row.alias("_row"), F.col(text).cast("string").alias("_text"))
     row_type = source.schema["_row"].dataType
-
-    def words(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for *_, texts in _chunks(batches, chunk_chars):
-            name, codes, _ = _coded(texts, pattern)
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([name] * len(codes), pa.binary()), "code": pa.array(range(len(codes)), pa.int32()), "word": pa.array(list(codes), pa.string())})
-
-    def positions(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch, a, b, texts in _chunks(batches, chunk_chars):
-            name, _, packed = _coded(texts, pattern)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (b - a), pa.binary()), batch.column("_row").slice(a, b - a), pa.array(packed, pa.binary())], names=["chunk", "_row", "codes"])
-
-    @F.pandas_udf("binary")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
-        encode_word = _encoder(held.value).encode_ordinary
-        for batch in batches:
-            yield pd.Series([np.array(encode_word(w), dtype="<i4").tobytes() for w in batch], dtype=object)
-
-    pairs = source.select("_text").mapInArrow(words, "chunk binary, code int, word string")
-    known = pairs.select("word").distinct().withColumn("ids", ids_of("word"))
-    told = pairs.join(known, "word").select("chunk", "code", "ids")
-    placed = source.mapInArrow(positions, StructType([StructField("chunk", BinaryType()), StructField("_row", row_type), StructField("codes", BinaryType())]))
-
-    def together(left, right):
-        import numpy as np
-        import pyarrow as pa
-
-        code = right.column("code").to_numpy()
-        own = right.column("ids").to_pylist()
-        n = int(code.max()) + 1 if len(code) else 0
-        by_code: list[bytes] = [b""] * n  # chunks alike share a name, and their words come for each
-        for c, x in zip(code, own, strict=True):
-            by_code[c] = x
-        sizes = np.array([len(x) // 4 for x in by_code], dtype=np.int64)
-        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(by_code), dtype="<i4")
-        parts, ends, total = [], [0], 0
-        for packed in left.column("codes").to_pylist():
-            at = np.frombuffer(zlib.decompress(packed[1:]), dtype=f"<u{packed[0]}").astype(np.int64)
-            if len(at) and (n == 0 or at.max() >= n):
-                raise RuntimeError("the input's rows changed between two reads; write it as a table first")
-            parts.append(_gather(flat, starts, sizes, at))
-            total += len(parts[-1])
-            ends.append(total)
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.array([], "<i4"), pa.int32()))
-        table = left.select(["_row"])
-        return table.append_column("ids", ids)
-
-    both = placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(together, StructType([StructField("_row", row_type), StructField("ids", ArrayType(IntegerType()))]))
+    words = source.select("_text").mapInArrow(lambda it: _word_rows(it, pattern, chunk_chars, shards), "shard int, chunk binary, codes binary, sizes binary, words binary")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = words.repartition(min(shards, parts), "shard").sortWithinPartitions("shard").mapInArrow(lambda it: _answers(it, held.value), "chunk binary, codes binary, sizes binary, ids binary")
+    placed = source.mapInArrow(lambda it: _position_rows(it, pattern, chunk_chars), StructType([StructField("chunk", BinaryType()), StructField("_row", row_type), StructField("codes", BinaryType())]))
+    both = placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda left, right: _together(left, right), StructType([StructField("_row", row_type), StructField("ids", ArrayType(IntegerType()))]))
     return both.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], "ids")
 
 
