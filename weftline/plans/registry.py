@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import pages
+from . import pages, text
 
-QUERIES = {**pages.QUERIES}
-ORACLES = {**pages.ORACLES}
+MODULES = [text]
+
+QUERIES = {**pages.QUERIES, **{k: v for m in MODULES for k, v in m.PAIRS.queries.items()}}
+ORACLES = {**pages.ORACLES, **{k: v for m in MODULES for k, v in m.PAIRS.oracles.items()}}
