@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pages, text
+from . import pages, text, timeline
 
-MODULES = [text]
+MODULES = [text, timeline]
 
 QUERIES = {**pages.QUERIES, **{k: v for m in MODULES for k, v in m.PAIRS.queries.items()}}
 ORACLES = {**pages.ORACLES, **{k: v for m in MODULES for k, v in m.PAIRS.oracles.items()}}
