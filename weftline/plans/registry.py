@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pages, routing, text, timeline
+from . import pages, routing, sites, text, timeline
 
-MODULES = [text, timeline, routing]
+MODULES = [text, timeline, routing, sites]
 
 QUERIES = {**pages.QUERIES, **{k: v for m in MODULES for k, v in m.PAIRS.queries.items()}}
 ORACLES = {**pages.ORACLES, **{k: v for m in MODULES for k, v in m.PAIRS.oracles.items()}}
