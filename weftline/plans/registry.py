@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import discovery, manifests, pages, routing, sites, subtitles, text, timeline
+from . import discovery, manifests, pages, routing, sites, structure, subtitles, text, timeline
 
-MODULES = [text, timeline, routing, sites, manifests, discovery, subtitles]
+MODULES = [text, timeline, routing, sites, manifests, discovery, subtitles, structure]
 
 QUERIES = {**pages.QUERIES, **{k: v for m in MODULES for k, v in m.PAIRS.queries.items()}}
 ORACLES = {**pages.ORACLES, **{k: v for m in MODULES for k, v in m.PAIRS.oracles.items()}}
