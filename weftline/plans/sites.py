@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,12 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_BASE = r"""WITH d AS (SELECT doc_id AS id, regexp_replace(text[1:24], '[\n\t]', ' ', 'g') AS t, regexp_replace(text[25:84], '[\n\t]', ' ', 'g') AS b, CASE WHEN doc_id % 3 <> 0 THEN 'user' || doc_id END AS a, doc_id * doc_id * 7 AS n1, doc_id * 11 AS n2, doc_id % 13 AS n3 FROM documents)
 """
 NL = "chr(10)"
-URL = F.concat(F.lit("https://site.example/"), F.col("id").cast("string"))
+
+
+def _url() -> Column:
+    return F.concat(F.lit("https://site.example/"), F.col("id").cast("string"))
+
+
 SQL_URL = "'https://site.example/' || id"
 
 
@@ -31,9 +38,9 @@ def _named(**fields: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
-def _query(name: str, record: Column, markdown: str, likes: str = "NULL") -> None:
+def _query(name: str, record: Callable[[], Column], markdown: str, likes: str = "NULL") -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = base(spark, sf_dir).select("id", URL.alias("url"), F.to_json(record).alias("json"))
+        df = base(spark, sf_dir).select("id", _url().alias("url"), F.to_json(record()).alias("json"))
         return df.select("id", S.render(name, F.col("json"), F.col("url")).alias("r")).select("id", "r.*")
 
     run.__name__ = f"site_{name}"
@@ -48,52 +55,52 @@ c = F.col
 some = lambda col, k: F.when(c("id") % k != 0, col)
 _query(
     "twitter",
-    _named(url=URL, text=some(c("b"), 5), author=_named(screen_name=F.concat(F.lit("u"), c("id").cast("string")), name=c("t")), article=F.when(c("id") % 7 == 0, _named(content=_named(blocks=F.array(_named(text=c("t")), _named(text=F.lit(None).cast("string")), _named(text=c("b")))))), likes=some(c("n1"), 4), views=some(c("n2"), 2), replies=c("n3"), created_at=some(F.lit("2024"), 3)),
+    lambda: _named(url=_url(), text=some(c("b"), 5), author=_named(screen_name=F.concat(F.lit("u"), c("id").cast("string")), name=c("t")), article=F.when(c("id") % 7 == 0, _named(content=_named(blocks=F.array(_named(text=c("t")), _named(text=F.lit(None).cast("string")), _named(text=c("b")))))), likes=some(c("n1"), 4), views=some(c("n2"), 2), replies=c("n3"), created_at=some(F.lit("2024"), 3)),
     f"'## @u' || id || ' (' || t || ')' || ¶ || ¶ || CASE WHEN id % 7 = 0 THEN t || ¶ || ¶ || b || ¶ || ¶ WHEN id % 5 <> 0 THEN b || ¶ || ¶ ELSE '' END || '📊 ' || concat_ws(' · ', CASE WHEN id % 4 <> 0 THEN {_count('n1')} || ' likes' END, {_count('n3')} || ' replies', CASE WHEN id % 2 <> 0 THEN {_count('n2')} || ' views' END) || ¶ || CASE WHEN id % 3 <> 0 THEN '🕐 2024' || ¶ ELSE '' END || ¶ || '[View on X](' || {SQL_URL} || ')' || ¶",
     "CASE WHEN id % 4 <> 0 THEN n1 END",
 )
 _query(
     "reddit",
-    _named(post=_named(title=c("t"), author=F.concat(F.lit("u"), c("id").cast("string")), score=c("n1") - 500, num_comments=c("n2"), selftext=F.when(c("id") % 2 == 0, c("b")).otherwise(""), is_self=c("id") % 2 == 0, url=URL), comments=F.transform(F.sequence(F.lit(1), c("n3") + 1), lambda i: _named(author=F.concat(F.lit("c"), i.cast("string")), body=F.when(i % 4 != 0, c("b")), score=i * 1000))),
+    lambda: _named(post=_named(title=c("t"), author=F.concat(F.lit("u"), c("id").cast("string")), score=c("n1") - 500, num_comments=c("n2"), selftext=F.when(c("id") % 2 == 0, c("b")).otherwise(""), is_self=c("id") % 2 == 0, url=_url()), comments=F.transform(F.sequence(F.lit(1), c("n3") + 1), lambda i: _named(author=F.concat(F.lit("c"), i.cast("string")), body=F.when(i % 4 != 0, c("b")), score=i * 1000))),
     f"'## ' || t || ¶ || ¶ || 'by u/u' || id || ' · ' || {_count('(n1 - 500)')} || ' points · ' || {_count('n2')} || ' comments' || ¶ || ¶ || CASE WHEN id % 2 = 0 THEN CASE WHEN b <> '' THEN b || ¶ || ¶ ELSE '' END ELSE '🔗 ' || {SQL_URL} || ¶ || ¶ END || '### Top Comments' || ¶ || ¶ || coalesce(array_to_string(list_transform(list_filter(range(1, n3 + 2), lambda i: i % 4 <> 0)[1:10], lambda i: '**u/c' || i || '** (' || {_count('(i * 1000)')} || ' points):' || ¶ || ¶ || b || ¶ || ¶ || '---' || ¶ || ¶), ''), '')",
     "greatest(n1 - 500, 0)",
 )
 _query(
     "hackernews",
-    _named(title=some(c("t"), 9), author=c("a"), points=some(c("n1"), 4), url=some(URL, 2), text=some(c("b"), 5), children=F.transform(F.sequence(F.lit(1), c("n3") + 1), lambda i: _named(author=F.when(i % 3 != 0, F.concat(F.lit("c"), i.cast("string"))), text=F.when(i % 5 != 0, c("b"))))),
+    lambda: _named(title=some(c("t"), 9), author=c("a"), points=some(c("n1"), 4), url=some(_url(), 2), text=some(c("b"), 5), children=F.transform(F.sequence(F.lit(1), c("n3") + 1), lambda i: _named(author=F.when(i % 3 != 0, F.concat(F.lit("c"), i.cast("string"))), text=F.when(i % 5 != 0, c("b"))))),
     f"CASE WHEN id % 9 <> 0 THEN '## ' || t || ¶ || ¶ ELSE '' END || coalesce('by ' || a || ' · ', '') || CASE WHEN id % 4 <> 0 THEN {_count('n1')} ELSE '0' END || ' points · ' || (n3 + 1) || ' comments' || ¶ || ¶ || CASE WHEN id % 2 <> 0 THEN '🔗 ' || {SQL_URL} || ¶ || ¶ ELSE '' END || CASE WHEN id % 5 <> 0 THEN b || ¶ || ¶ ELSE '' END || '### Top Comments' || ¶ || ¶ || coalesce(array_to_string(list_transform(list_filter(range(1, n3 + 2), lambda i: i % 5 <> 0)[1:10], lambda i: '**' || CASE WHEN i % 3 <> 0 THEN 'c' || i ELSE 'unknown' END || '**:' || ¶ || ¶ || b || ¶ || ¶ || '---' || ¶ || ¶), ''), '')",
     "CASE WHEN id % 4 <> 0 THEN n1 END",
 )
 _query(
     "github",
-    _named(title=c("t"), state=F.when(c("id") % 2 == 0, "open").otherwise("closed"), user=_named(login=F.concat(F.lit("u"), c("id").cast("string"))), comments=c("n3"), labels=F.when(c("id") % 3 == 0, F.array(_named(name=F.lit("bug")), _named(name=F.lit("p1")))).otherwise(F.array().cast("array<struct<name:string>>")), body=some(c("b"), 4), thread=F.transform(F.filter(F.sequence(F.lit(0), c("n3")), lambda i: i > 0), lambda i: _named(user=_named(login=F.concat(F.lit("c"), i.cast("string"))), body=c("b")))),
+    lambda: _named(title=c("t"), state=F.when(c("id") % 2 == 0, "open").otherwise("closed"), user=_named(login=F.concat(F.lit("u"), c("id").cast("string"))), comments=c("n3"), labels=F.when(c("id") % 3 == 0, F.array(_named(name=F.lit("bug")), _named(name=F.lit("p1")))).otherwise(F.array().cast("array<struct<name:string>>")), body=some(c("b"), 4), thread=F.transform(F.filter(F.sequence(F.lit(0), c("n3")), lambda i: i > 0), lambda i: _named(user=_named(login=F.concat(F.lit("c"), i.cast("string"))), body=c("b")))),
     "'## ' || t || CASE WHEN id % 2 = 0 THEN ' [OPEN]' ELSE ' [CLOSED]' END || ¶ || ¶ || 'by @u' || id || ' · ' || n3 || ' comments' || CASE WHEN id % 3 = 0 THEN ' · Labels: bug, p1' ELSE '' END || ¶ || ¶ || CASE WHEN id % 4 <> 0 THEN b || ¶ || ¶ ELSE '' END || CASE WHEN n3 > 0 THEN '### Comments' || ¶ || ¶ || array_to_string(list_transform(range(1, n3 + 1)[1:10], lambda i: '**@c' || i || '**:' || ¶ || ¶ || b || ¶ || ¶ || '---' || ¶ || ¶), '') ELSE '' END",
 )
-_embed = _named(title=c("t"), author_name=F.concat(F.lit("u"), c("id").cast("string")), thumbnail_url=F.lit("https://i.example/x.png"))
+_embed = lambda: _named(title=c("t"), author_name=F.concat(F.lit("u"), c("id").cast("string")), thumbnail_url=F.lit("https://i.example/x.png"))
 _query("instagram", _embed, f"'## @u' || id || ¶ || ¶ || t || ¶ || ¶ || '![Instagram post](https://i.example/x.png)' || ¶ || ¶ || '[View on Instagram](' || {SQL_URL} || ')' || ¶")
 _query("youtube", _embed, f"'## ' || t || ¶ || ¶ || 'by u' || id || ¶ || ¶ || '![YouTube video](https://i.example/x.png)' || ¶ || ¶ || '[Watch on YouTube](' || {SQL_URL} || ')' || ¶")
 _query(
     "wikipedia",
-    _named(title=c("t"), description=c("a"), extract=some(c("b"), 4), thumbnail=F.when(c("id") % 2 == 0, _named(source=URL)), content_urls=F.when(c("id") % 5 == 0, _named(desktop=_named(page=URL)))),
+    lambda: _named(title=c("t"), description=c("a"), extract=some(c("b"), 4), thumbnail=F.when(c("id") % 2 == 0, _named(source=_url())), content_urls=F.when(c("id") % 5 == 0, _named(desktop=_named(page=_url())))),
     f"'## ' || t || ¶ || ¶ || coalesce('*' || a || '*' || ¶ || ¶, '') || CASE WHEN id % 2 = 0 THEN '![' || t || '](' || {SQL_URL} || ')' || ¶ || ¶ ELSE '' END || CASE WHEN id % 4 <> 0 THEN b || ¶ || ¶ ELSE '' END || '[Read full article on Wikipedia](' || CASE WHEN id % 5 = 0 THEN {SQL_URL} ELSE 'https://site.wikipedia.org/wiki/' || url_encode(t) END || ')' || ¶",
 )
-_html = F.concat(F.lit("<p>"), c("b"), F.lit("</p> &amp;lt;"))
+_html = lambda: F.concat(F.lit("<p>"), c("b"), F.lit("</p> &amp;lt;"))
 _sql_html = SQL_STRIP.format(x="'<p>' || b || '</p> &amp;lt;'")
 _query(
     "stackoverflow",
-    _named(question=_named(title=F.concat(c("t"), F.lit(" &quot;x&quot;")), owner=_named(display_name=F.concat(F.lit("u"), c("id").cast("string"))), score=c("n2"), answer_count=c("n3"), view_count=c("n1"), tags=F.when(c("id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")), body=some(_html, 3), link=URL), answers=F.transform(F.sequence(F.lit(1), c("n3") + 1), lambda i: _named(owner=_named(display_name=F.concat(F.lit("c"), i.cast("string"))), score=i * 999, is_accepted=i == 1, body=F.when(i != 2, _html)))),
+    lambda: _named(question=_named(title=F.concat(c("t"), F.lit(" &quot;x&quot;")), owner=_named(display_name=F.concat(F.lit("u"), c("id").cast("string"))), score=c("n2"), answer_count=c("n3"), view_count=c("n1"), tags=F.when(c("id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")), body=some(_html(), 3), link=_url()), answers=F.transform(F.sequence(F.lit(1), c("n3") + 1), lambda i: _named(owner=_named(display_name=F.concat(F.lit("c"), i.cast("string"))), score=i * 999, is_accepted=i == 1, body=F.when(i != 2, _html())))),
     f"'## ' || replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' \"x\"' || ¶ || ¶ || 'Asked by u' || id || ' · ' || {_count('n2')} || ' votes · ' || n3 || ' answers · ' || {_count('n1')} || ' views' || ¶ || ¶ || CASE WHEN id % 2 = 0 THEN 'Tags: a, b' || ¶ || ¶ ELSE '' END || CASE WHEN id % 3 <> 0 THEN '### Question' || ¶ || ¶ || {_sql_html} || ¶ || ¶ ELSE '' END || '### Top Answers' || ¶ || ¶ || array_to_string(list_transform(range(1, n3 + 2)[1:3], lambda i: '**c' || i || '** (' || {_count('(i * 999)')} || ' votes)' || CASE WHEN i = 1 THEN ' [ACCEPTED]' ELSE '' END || ¶ || ¶ || CASE WHEN i <> 2 THEN {_sql_html} || ¶ || ¶ ELSE '' END || '---' || ¶ || ¶), '') || '[View on Stack Overflow](' || {SQL_URL} || ')' || ¶",
     "n2",
 )
 _query(
     "mastodon",
-    _named(url=some(URL, 3), content=F.when(c("id") % 4 == 0, "<p></p>").otherwise(_html), created_at=F.lit("2024-05-01"), account=_named(username=F.concat(F.lit("u"), c("id").cast("string")), display_name=F.when(c("id") % 2 == 0, "").otherwise(c("t"))), favourites_count=c("n1"), reblogs_count=c("n3"), replies_count=F.lit(0).cast("long"), media_attachments=F.when(c("id") % 5 == 0, F.array(_named(url=URL, description=F.lit(None).cast("string")), _named(url=F.lit(None).cast("string"), description=c("t")))).otherwise(F.array().cast("array<struct<url:string,description:string>>"))),
+    lambda: _named(url=some(_url(), 3), content=F.when(c("id") % 4 == 0, "<p></p>").otherwise(_html()), created_at=F.lit("2024-05-01"), account=_named(username=F.concat(F.lit("u"), c("id").cast("string")), display_name=F.when(c("id") % 2 == 0, "").otherwise(c("t"))), favourites_count=c("n1"), reblogs_count=c("n3"), replies_count=F.lit(0).cast("long"), media_attachments=F.when(c("id") % 5 == 0, F.array(_named(url=_url(), description=F.lit(None).cast("string")), _named(url=F.lit(None).cast("string"), description=c("t")))).otherwise(F.array().cast("array<struct<url:string,description:string>>"))),
     f"'## ' || CASE WHEN id % 2 = 0 THEN 'u' || id ELSE t END || ' (@u' || id || ')' || ¶ || ¶ || CASE WHEN id % 4 = 0 THEN '' ELSE {_sql_html} || ¶ || ¶ END || CASE WHEN id % 5 = 0 THEN '![Media attachment](' || {SQL_URL} || ')' || ¶ || ¶ ELSE '' END || CASE WHEN n1 > 0 OR n3 > 0 THEN concat_ws(' · ', CASE WHEN n1 > 0 THEN {_count('n1')} || ' favourites' END, CASE WHEN n3 > 0 THEN {_count('n3')} || ' boosts' END) || ¶ ELSE '' END || '2024-05-01' || ¶ || CASE WHEN id % 3 <> 0 THEN ¶ || '[View on Mastodon](' || {SQL_URL} || ')' || ¶ ELSE '' END",
     "n1",
 )
 _query(
     "linkedin",
-    _named(title=some(F.concat(F.lit("T "), c("id").cast("string")), 3), author_name=c("a"), thumbnail_url=some(URL, 4), html=F.when(c("id") % 2 == 0, F.concat(F.lit("<b> </b>x"), c("id").cast("string"), F.lit("<br> ")))),
+    lambda: _named(title=some(F.concat(F.lit("T "), c("id").cast("string")), 3), author_name=c("a"), thumbnail_url=some(_url(), 4), html=F.when(c("id") % 2 == 0, F.concat(F.lit("<b> </b>x"), c("id").cast("string"), F.lit("<br> ")))),
     f"CASE WHEN id % 3 <> 0 THEN '## T ' || id || ¶ || ¶ || 'by ' || a || ¶ || ¶ ELSE '' END || CASE WHEN id % 4 <> 0 THEN '![LinkedIn post](' || {SQL_URL} || ')' || ¶ || ¶ ELSE '' END || CASE WHEN id % 2 = 0 THEN 'x' || id || ¶ || ¶ ELSE '' END || '[View on LinkedIn](' || {SQL_URL} || ')' || ¶",
 )
 
@@ -106,5 +113,5 @@ def og_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = lambda name, value: F.concat(F.lit(f'<meta property="og:{name}" content="'), value, F.lit('">'))
     titles = F.when(F.col("id") % 4 == 0, meta("title", F.lit(""))).otherwise(F.concat(meta("title", F.lit("First")), meta("title", F.concat(F.lit("Second "), i)), meta("title", F.lit(""))))
     html = F.concat(F.lit("<head>"), titles, F.when((F.col("id") % 4 == 0) & (F.col("id") % 8 != 0), "").otherwise(meta("description", F.lit("D"))), F.lit("</head>"))
-    df = base(spark, sf_dir).select("id", URL.alias("url"), S.og_meta(html).alias("og"), S.X.handle(F.concat(F.lit("Name (@h"), i, F.lit(") on")).alias("x")).alias("handle"))
+    df = base(spark, sf_dir).select("id", _url().alias("url"), S.og_meta(html).alias("og"), S.X.handle(F.concat(F.lit("Name (@h"), i, F.lit(") on")).alias("x")).alias("handle"))
     return df.select("id", "og.title", "og.description", "handle", S.og_markdown(F.col("og"), F.col("url")).alias("markdown"))

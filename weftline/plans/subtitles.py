@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import subtitles as S
@@ -39,14 +39,16 @@ def parsed_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("conv_id", "n", "e.start_ms", "e.end_ms", F.regexp_replace("e.text", r"^\s+|\s+$", "").alias("text"))
 
 
-STYLE = F.struct(F.lit("Main").alias("name"), F.lit("Arial").alias("font"), F.lit(48).alias("size"), F.lit("FFAA00").alias("color"), F.lit("102030").alias("outline_color"), F.lit("000000").alias("back_color"), F.lit(0.5).alias("back_opacity"), F.lit(True).alias("bold"), F.lit(False).alias("italic"), F.lit(2).alias("outline"), F.lit(0).alias("shadow"), F.lit("bottom_center").alias("position"))
+
+def _style() -> Column:
+    return F.struct(F.lit("Main").alias("name"), F.lit("Arial").alias("font"), F.lit(48).alias("size"), F.lit("FFAA00").alias("color"), F.lit("102030").alias("outline_color"), F.lit("000000").alias("back_color"), F.lit(0.5).alias("back_opacity"), F.lit(True).alias("bold"), F.lit(False).alias("italic"), F.lit(2).alias("outline"), F.lit(0).alias("shadow"), F.lit("bottom_center").alias("position"))
 SQL_HEADER = f"'[Script Info]' || chr(10) || 'Title: Talk ' || conv_id || chr(10) || 'ScriptType: v4.00+' || chr(10) || 'PlayResX: 1920' || chr(10) || 'PlayResY: 1080' || chr(10) || 'ScaledBorderAndShadow: yes' || chr(10) || 'YCbCr Matrix: TV.709' || chr(10) || chr(10) || '[V4+ Styles]' || chr(10) || '{S.STYLE_FORMAT}' || chr(10) || 'Style: Main,Arial,48,&H0000AAFF,&H000000FF,&H00302010,&H7F000000,-1,0,0,0,100,100,0,0,1,2,0,2,20,20,20,0' || chr(10) || chr(10) || '[Events]' || chr(10) || '{S.EVENT_FORMAT}' || chr(10)"
 
 
 @PAIRS.add(f"""WITH {SQL_ENTRIES} SELECT conv_id, {SQL_HEADER} || string_agg('Dialogue: 0,' || {SQL_ASS.format(m='s')} || ',' || {SQL_ASS.format(m='t')} || ',Default,' || coalesce(speaker, '') || ',0,0,0,,' || replace(replace(replace(replace(text, '\\', '\\\\'), '{{', '\\{{'), '}}', '\\}}'), chr(10), '\\N') || chr(10), '' ORDER BY pos) AS ass FROM e GROUP BY conv_id""")
 def ass_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("Talk "), F.col("conv_id").cast("string"))
-    return entries(spark, sf_dir).select("conv_id", F.concat(S.ass_header(title, F.array(S.style_line(STYLE))), S.dialogue(F.col("entries"))).alias("ass"))
+    return entries(spark, sf_dir).select("conv_id", F.concat(S.ass_header(title, F.array(S.style_line(_style()))), S.dialogue(F.col("entries"))).alias("ass"))
 
 
 PLACES = list(S.ALIGNMENT)[:9]
