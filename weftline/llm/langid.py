@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import raw_text
-from ._shared import write_table
+from ._shared import sample_rows, write_table
 from .urls import parts
 
 
@@ -60,11 +60,13 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, config: Fusion = Fusion(), text: str = "text", lang: str = "lang") -> TextModel:
-    """Trigram tables from the labelled documents that come first by a hash of their text. Counts of a language's buckets come back: languages times buckets, whatever the sample holds."""
+    """Trigram tables from the labelled documents that come first by a hash. Counts of a language's buckets come back: languages times buckets, whatever the sample holds."""
     import numpy as np
 
     buckets = config.buckets
-    sample = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")).orderBy(F.xxhash64("text"), "lang").limit(config.sample)
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    more = [F.col("doc_id")] if "doc_id" in docs.columns else []  # copies of a text are then told apart
+    sample = sample_rows(known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), *more), config.sample).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}

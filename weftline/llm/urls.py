@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, write_table
+from ._shared import ascii_lower, sample_rows, write_table
 from .boosting import train
 
 
@@ -103,6 +103,6 @@ def judge(pages: DataFrame, config: Filter = Filter(), url: str = "url", key: st
     for name in ("suffix", "domain"):
         df = df.join(_suffix_table(labelled, name, rate, config.smoothing), F.col(name) == F.col(f"_{name}"), "left").withColumns({f"{name}_log": F.coalesce(f"{name}_log", F.lit(0.0)), f"{name}_block": F.coalesce(f"{name}_block", F.lit(rate))})
     sample = df.filter("rule is not null").withColumn("label", (F.col("verdict") == "block").cast("double"))
-    sample = write_table(sample.orderBy(F.xxhash64("host", "path", key)).limit(config.sample).select("label", *FEATURES), "sample")
+    sample = write_table(sample_rows(sample.select(key, "label", *FEATURES), config.sample).select("label", *FEATURES), "sample")
     score = train(sample, FEATURES).column()
     return df.select(key, "host", "path", "rule", F.coalesce("verdict", F.when(score > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), score.alias("score"))
