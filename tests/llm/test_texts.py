@@ -281,3 +281,20 @@ def test_license_method(spark):
     assert got[0].labels == "mit" and got[0].base_labels == "" and got[0].score > 0.9
     assert got[1].labels == "cc-by,cc-by-nc"
     assert got[2].labels == got[3].labels == "" and got[3].score == 0
+
+
+def test_bpe_copies_are_chunks_of_their_own(spark, tmp_path):
+    """Null, empty and repeated long texts do not meet in one group."""
+    rows = [(i, x) for i, x in enumerate([None, ""] * 500 + ["some long text " * 20] * 60)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs, old = spark.read.parquet(str(tmp_path / "d")), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        pattern = queries.vocabulary().pattern
+        placed = docs.selectExpr("doc_id as _row", "text as _text").mapInArrow(lambda it: bpe._position_rows(it, pattern, 100), "chunk binary, _row long, codes binary")
+        assert max(r["count"] for r in placed.groupBy("chunk").count().collect()) <= 100
+        assert placed.filter("_row >= 1000").select("chunk").distinct().count() == 60
+        got = bpe.encode(docs, queries.vocabulary(), ["doc_id"], chunk_chars=100).selectExpr("doc_id", "size(ids) as n", "hash(ids) as h").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(r.doc_id for r in got) == list(range(1060)) and {r.n for r in got if r.doc_id < 1000} == {0} and len({r.h for r in got if r.doc_id >= 1000}) == 1

@@ -7,8 +7,8 @@ join the chunk's texts, which are put together by position. So what is shuffled
 and a compressed code for each position, never a row for each position, and a word that every text holds comes once for
 each chunk. Words and codes travel packed: a chunk has a row for each shard, not for each word.
 
-A chunk is named by a digest of what it holds. If the input's rows came in other order when they are read for the
-second time, the names would differ, and encoding stops with an error instead of mixing chunks up: pass a table at rest.
+A chunk is named by a digest of its place in the input and of what it holds, so that copies, however many, are chunks of
+their own. If the input's rows came in other order or partitions when they are read for the second time, the names would differ, and encoding stops with an error instead of mixing chunks up: pass a table at rest.
 
 Decoding gathers from the token-byte table (as many rows as the vocabulary, sent to the tasks).
 
@@ -123,22 +123,26 @@ def _gather(flat, starts, sizes, which):
 
 
 def _chunks(batches: Iterator, size: int) -> Iterator[tuple]:
-    """(batch, first row, last row, texts) for parts of Arrow batches that hold about ``size`` characters."""
+    """(batch, first row, last row, place, texts) for parts of Arrow batches that hold about ``size`` characters; the place is the
+    part's number in its partition, and the partition's."""
+    from pyspark import TaskContext
+
+    task, n = TaskContext.get(), 0
     for batch in batches:
         texts = [x or "" for x in batch.column("_text").to_pylist()]
         begin, held = 0, 0
         for i, x in enumerate(texts):
             held += len(x)
             if held >= size or i == len(texts) - 1:
-                yield batch, begin, i + 1, texts[begin : i + 1]
-                begin, held = i + 1, 0
+                yield batch, begin, i + 1, (task.partitionId() if task else 0, n), texts[begin : i + 1]
+                begin, held, n = i + 1, 0, n + 1
 
 
-def _coded(texts: list[str], pattern: str) -> tuple[bytes, dict[str, int], list[list[str]]]:
+def _coded(texts: list[str], place: tuple[int, int], pattern: str) -> tuple[bytes, dict[str, int], list[list[str]]]:
     """The chunk's name, its words by code in the order of their first place, and each text's pieces."""
     from xxhash import xxh3_128
 
-    name, seen, pieces, find = xxh3_128(), {}, [], _pieces(pattern)
+    name, seen, pieces, find = xxh3_128(b"%d %d " % place), {}, [], _pieces(pattern)
     for x in texts:
         raw = x.encode()
         name.update(len(raw).to_bytes(8, "little") + raw)
@@ -152,8 +156,8 @@ def _word_rows(batches: Iterator, pattern: str, size: int, shards: int) -> Itera
     import pyarrow as pa
     import zstandard
 
-    for *_, texts in _chunks(batches, size):
-        name, codes, _ = _coded(texts, pattern)
+    for *_, place, texts in _chunks(batches, size):
+        name, codes, _ = _coded(texts, place, pattern)
         dealt: list[tuple[list, list]] = [([], []) for _ in range(shards)]
         for w, c in codes.items():
             raw = w.encode()
@@ -197,8 +201,8 @@ def _position_rows(batches: Iterator, pattern: str, size: int) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    for batch, a, b, texts in _chunks(batches, size):
-        name, codes, pieces = _coded(texts, pattern)
+    for batch, a, b, place, texts in _chunks(batches, size):
+        name, codes, pieces = _coded(texts, place, pattern)
         packed = [_pack(np.fromiter(map(codes.__getitem__, p), np.uint32, len(p))) for p in pieces]
         yield pa.RecordBatch.from_arrays([pa.array([name] * (b - a), pa.binary()), batch.column("_row").slice(a, b - a), pa.array(packed, pa.binary())], names=["chunk", "_row", "codes"])
 
@@ -213,7 +217,7 @@ def _together(left, right):
     flat = [_unpack(x).astype(np.int32) for x in right.column("ids").to_pylist()]
     n = 1 + max((int(c.max()) for c in codes if len(c)), default=-1)
     starts, sizes, offset = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-    for c, k, f in zip(codes, counts, flat, strict=True):  # chunks alike share a name, and are answered alike
+    for c, k, f in zip(codes, counts, flat, strict=True):
         k = k.astype(np.int64)
         starts[c], sizes[c] = offset + np.cumsum(k) - k, k
         offset += len(f)
@@ -240,7 +244,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str =
     row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("_none"))
     source = docs.select(row.alias("_row"), F.col(text).cast("string").alias("_text"))
     row_type = source.schema["_row"].dataType
-    words = source.select("_text").mapInArrow(lambda it: _word_rows(it, pattern, chunk_chars, shards), "shard int, chunk binary, codes binary, sizes binary, words binary")
+    words = source.mapInArrow(lambda it: _word_rows(it, pattern, chunk_chars, shards), "shard int, chunk binary, codes binary, sizes binary, words binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = words.repartition(min(shards, parts), "shard").sortWithinPartitions("shard").mapInArrow(lambda it: _answers(it, held.value), "chunk binary, codes binary, sizes binary, ids binary")
     placed = source.mapInArrow(lambda it: _position_rows(it, pattern, chunk_chars), StructType([StructField("chunk", BinaryType()), StructField("_row", row_type), StructField("codes", BinaryType())]))
