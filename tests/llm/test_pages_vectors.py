@@ -126,3 +126,9 @@ def test_language_accuracy(spark):
     hidden = langid.identify(pages, model).join(pages.select("page_id", "truth"), "page_id").filter("page_id % 2 = 0").collect()
     assert all(r.declared == "" for r in hidden)
     assert sum(r.lang == r.truth for r in hidden) / len(hidden) > 0.9
+
+
+def test_rare_languages_have_tables(spark):
+    rows = [(i, "common words of the many", "aa") for i in range(3000)] + [(3000 + i, "seltene Worte der wenigen", "bb") for i in range(2)] + [(4000, "mots uniques", "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit_text(docs, langid.Fusion(sample=20, each=10)).languages == ("aa", "bb", "cc")

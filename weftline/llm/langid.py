@@ -17,17 +17,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import raw_text
-from ._shared import sample_rows, write_table
+from ._shared import write_table
 from .urls import parts
 
 
 @dataclass(frozen=True)
 class Fusion:
-    sample: int = 4000  # labelled documents that fit the trigram tables
+    sample: int = 4000  # labelled documents that fit the trigram tables, about; languages have their shares of them
+    each: int = 200  # but so many of every language at least, or all it has
     buckets: int = 16_384
     smoothing: float = 0.5  # added to each trigram bucket
     temper: float = 0.2  # of the text's log-likelihood: trigrams overlap and are no independent witnesses
@@ -60,13 +61,21 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, config: Fusion = Fusion(), text: str = "text", lang: str = "lang") -> TextModel:
-    """Trigram tables from the labelled documents that come first by a hash. Counts of a language's buckets come back: languages times buckets, whatever the sample holds."""
+    """Trigram tables from those labelled documents of each language that come first by a hash; every language with a document has a
+    table. Rows beyond a bound that leaves half as many again go where they are read, so that only samples are ranked. Counts of a language's buckets come back: languages times buckets, whatever the sample holds."""
     import numpy as np
 
     buckets = config.buckets
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     more = [F.col("doc_id")] if "doc_id" in docs.columns else []  # copies of a text are then told apart
-    sample = sample_rows(known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), *more), config.sample).select("lang", "text")
+    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), *more)
+    held = {x["lang"]: x["count"] for x in known.groupBy("lang").count().collect()}  # a row for each language
+    total = sum(held.values())
+    wanted = {x: max(config.each, -(-config.sample * n // total)) for x, n in held.items()}
+    below = {x: int(2**63 * min(1.0, 1.5 * wanted[x] / n)) - 1 if n > 2 * wanted[x] else 2**63 - 1 for x, n in held.items()}
+    of = lambda values: F.create_map(*[F.lit(y) for x in values.items() for y in x])[F.col("lang")] if values else F.lit(0)
+    near = known.withColumn("h", F.shiftrightunsigned(F.xxhash64(*known.columns), 1)).filter(F.col("h") <= of(below))
+    sample = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= of(wanted)).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
