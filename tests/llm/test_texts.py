@@ -298,3 +298,24 @@ def test_bpe_copies_are_chunks_of_their_own(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert sorted(r.doc_id for r in got) == list(range(1060)) and {r.n for r in got if r.doc_id < 1000} == {0} and len({r.h for r in got if r.doc_id >= 1000}) == 1
+
+
+class Likely:
+    """A forest that says what it is told."""
+
+    def __init__(self, *p):
+        self.p = p
+
+    def probability(self, rows):
+        import numpy as np
+
+        return np.array([self.p[i % len(self.p)] for i in range(len(rows))])
+
+
+def test_pii_overlaps_and_letters(monkeypatch):
+    detector = pii.Detector(Likely(0.9), dict.fromkeys(pii.KINDS, 0.5))
+    assert ("secret", 10, 22) in detector.spans("password: CorrectHorse is it")[1]
+    assert detector.spans("a token " + "abcdefghij" * 3 + " here")[1] == [("secret", 8, 38)]
+    detector = pii.Detector(Likely(0.6, 0.7, 0.8), dict.fromkeys(pii.KINDS, 0.5))
+    monkeypatch.setattr(pii, "candidates", lambda text: [("secret", 0, 10), ("secret", 8, 20), ("secret", 18, 30)])
+    assert detector.spans("x" * 40)[1] == [("secret", 0, 10), ("secret", 18, 30)]
