@@ -30,10 +30,14 @@ LEVELS = 3
 @dataclass(frozen=True)
 class RobustRules:
     min_words: int = 50
+    most_repeated: int = 50  # per cent of the words that may lie in repeated windows
     core: float = 0.75  # share of a group that each concentration step keeps
-    steps: int = 2
+    steps: int = 3
     min_rows: int = 200  # smaller groups are judged by their language, then by all documents
-    cutoff: float = 230.0  # of the squared distance, scaled so that its median is that of chi-square
+    fence: float = 3.0  # quartile ranges of the logarithm of a group's distances beyond its upper quartile
+    least_spread: float = 0.82  # of these quartile ranges: that of chi-square
+    few_groups: int = 10_000  # so many rows of estimates, some 4 MB, may be sent to every task
+    salts: int = 64  # tasks to which a group's rows are dealt where there are more groups
     short_slack: float = 10.0  # the cut-off grows by this over the number of words: ratios of short texts scatter more
 
 
@@ -70,7 +74,7 @@ def with_counts(docs: DataFrame, rules: RobustRules = RobustRules(), text: str =
         "n_repeat_words": _repeat_words(F.col("_words")),
         "_q": F.struct(F.size("_lines").alias("lines"), _count(body, "[A-Z]").alias("upper"), _count(body, r"[!-/:-@\[-`{-~]").alias("marks")),
     })
-    failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.min_words * F.col("n_words"))
+    failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words"))
     return df.drop("_words", "_lines").withColumn("base_failed", failed)
 
 
@@ -111,20 +115,44 @@ def _with_distance(df: DataFrame) -> DataFrame:
 BINS = 24  # of the logarithm of one plus the squared distance, to each unit
 
 
-def _quantile(distances: DataFrame, q: float) -> DataFrame:
-    """The bin, for each group, below whose end a share q of the group lies: counts by bin, then running counts of bins."""
-    from pyspark.sql import Window
+def _quantiles(distances: DataFrame, shares: list[float]) -> DataFrame:
+    """(level, key, cut: array of bins): for each share the bin below whose end so much of the group lies.
+
+    Counts by bin are written before they meet: a group then has as many rows as bins, whatever it holds.
+    """
+    counts = write_table(distances.groupBy("level", "key", F.floor(F.log1p("d2") * BINS).alias("bin")).agg(F.count("*").alias("n")), "bins")
+    groups = counts.groupBy("level", "key").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("all"))
+
+    def cut(share: float) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("at"))
+
+        def step(a: Column, x: Column) -> Column:
+            n = a["n"] + x["n"]
+            return F.struct(n.alias("n"), F.coalesce(a["at"], F.when(n >= share * F.col("all"), x["bin"])).alias("at"))
+
+        return F.aggregate("bins", start, step, lambda a: a["at"])
+
+    return groups.select("level", "key", F.array(*map(cut, shares)).alias("cut"))
 
-    counts = distances.groupBy("level", "key", F.floor(F.log1p("d2") * BINS).alias("bin")).agg(F.count("*").alias("n"))
-    group = Window.partitionBy("level", "key")
-    below = counts.withColumn("below", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
-    return below.filter(F.col("below") >= q * F.col("all")).groupBy("level", "key").agg(F.min("bin").alias("cut"))
+
+def _meet(rows: DataFrame, groups: DataFrame, on: list[str], rules: RobustRules, how: str = "inner") -> DataFrame:
+    """Rows of statistics beside their group's row, which is in a written table.
+
+    So few groups as ``few_groups``, counted here, go to every task. More are met by key and salt, each group's row being repeated for
+    every salt, so that the rows of one group, however many, are dealt to that many tasks.
+    """
+    if groups.count() <= rules.few_groups:
+        return rows.join(F.broadcast(groups), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*STATS), F.lit(rules.salts)).cast("int"))
+    repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(rules.salts - 1))))
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def fit(stats: DataFrame, rules: RobustRules = RobustRules(), lang: str = "lang", source: str = "source") -> DataFrame:
     """Minimum-covariance-determinant estimates: a written table with a row for each group of each level.
 
-    Starts from medians and quartile ranges; each step takes the moments of the ``core`` share nearest to the centre.
+    Starts from medians and quartile ranges; each step takes the moments of the ``core`` share nearest to the centre. ``scale`` brings
+    the median distance to that of chi-square; ``most`` is the group's own fence (see RobustRules).
     """
     p = len(STATS)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), k.alias("key")) for i, k in enumerate(_levels(lang, source))]))
@@ -132,40 +160,40 @@ def fit(stats: DataFrame, rules: RobustRules = RobustRules(), lang: str = "lang"
     start = rows.groupBy("level", "key").agg(F.count("*").alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(f"q_{i}") for i, x in enumerate(STATS)])
     start = start.filter((F.col("n") >= rules.min_rows) | (F.col("level") == LEVELS - 1))
     spread = lambda i: F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]
+    means = [f"m_{i}" for i in range(p)]
     model = start.select("level", "key", "n", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)], *[F.pow(spread(i) / 1.349, 2).alias(f"v_{i}") for i in range(p)])
-    model = model.select("level", "key", "n", *[f"m_{i}" for i in range(p)], *[(F.col(f"v_{i}") + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])
+    model = model.select("level", "key", "n", *means, *[(F.col(f"v_{i}") + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])
     model = write_table(_factor(model), "start")
+    group = ["level", "key"]
     for step in range(rules.steps):
-        near = _with_distance(rows.join(model, ["level", "key"]))
-        cut = write_table(_quantile(near, rules.core), f"cut{step}")
-        core = near.join(cut, ["level", "key"]).filter(F.floor(F.log1p("d2") * BINS) <= F.col("cut"))
-        sums = core.groupBy("level", "key").agg(
-            F.first("n").alias("n"), *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(STATS)], *[F.avg(F.col(STATS[i]) * F.col(STATS[j])).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)]
-        )
+        cut = _quantiles(_with_distance(_meet(rows, model, group, rules)), [rules.core])
+        bounded = write_table(model.join(cut, group), f"cut{step}")
+        core = _with_distance(_meet(rows, bounded, group, rules)).filter(F.floor(F.log1p("d2") * BINS) <= F.col("cut")[0])
+        moments = [F.avg(F.col(STATS[i]) * F.col(STATS[j])).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)]
+        sums = core.groupBy(*group).agg(F.first("n").alias("n"), *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(STATS)], *moments)
         cov = lambda i, j: F.col(f"s_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
-        model = write_table(_factor(sums.select("level", "key", "n", *[f"m_{i}" for i in range(p)], *[cov(i, j).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])), f"model{step}")
-    middle = _quantile(_with_distance(rows.join(model, ["level", "key"])), 0.5)
-    scale = F.greatest(F.expm1((F.col("cut") + 0.5) / BINS) / _chi2(p, 0.0), F.lit(0.2))
-    return write_table(model.join(middle.withColumn("scale", scale).drop("cut"), ["level", "key"]), "model")
+        model = write_table(_factor(sums.select(*group, "n", *means, *[cov(i, j).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])), f"model{step}")
+    cuts = _quantiles(_with_distance(_meet(rows, model, group, rules)), [0.25, 0.5, 0.75])
+    log = lambda k: (F.col("cut")[k] + 0.5) / BINS  # noqa: E731  of one plus the squared distance
+    scale = F.greatest(F.expm1(log(1)) / _chi2(p, 0.0), F.lit(0.2))
+    fence = F.expm1(log(2) + rules.fence * F.greatest(log(2) - log(0), F.lit(rules.least_spread)))
+    return write_table(model.join(cuts, group).withColumn("scale", scale).withColumn("most", fence / scale).drop("cut"), "model")
 
 
 def score(stats: DataFrame, model: DataFrame, rules: RobustRules = RobustRules(), lang: str = "lang", source: str = "source") -> DataFrame:
-    """Adds ``distance`` (scaled and squared, null where base_failed or no model) and ``kept``.
-
-    The written model has a row for each group: Spark broadcasts it if its files are below the session's threshold and
-    else joins by sorted keys.
-    """
+    """Adds ``distance`` (scaled and squared, null where base_failed or no model) and ``kept``."""
     fine, middle, coarse = _levels(lang, source)
-    known = model.select("level", "key")
     df = stats.withColumns({"_k0": fine, "_k1": middle})
     for level in (0, 1):
-        df = df.join(known.filter(F.col("level") == level).select(F.col("key").alias(f"_k{level}"), F.lit(True).alias(f"_h{level}")), f"_k{level}", "left")
+        known = model.filter(F.col("level") == level).select(F.col("key").alias(f"_k{level}"), F.lit(True).alias(f"_h{level}"))
+        df = _meet(df, known, [f"_k{level}"], rules, "left")
     key = lambda level, k: F.struct(F.lit(level).alias("level"), k.alias("key"))
     df = df.withColumn("_key", F.when(F.col("_h0"), key(0, F.col("_k0"))).when(F.col("_h1"), key(1, F.col("_k1"))).otherwise(key(2, coarse)))
-    model = model.select(F.struct("level", "key").alias("_key"), "scale", *[f"m_{i}" for i in range(len(STATS))], *[f"l_{i}_{j}" for i in range(len(STATS)) for j in range(i + 1)])
-    df = _with_distance(df.join(model, "_key", "left")).withColumn("distance", F.when(~F.col("base_failed"), F.col("d2") / F.col("scale")))
-    limit = rules.cutoff * (1 + rules.short_slack / F.greatest(F.col("n_words"), F.lit(1)))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit))
+    p = len(STATS)
+    model = model.select(F.struct("level", "key").alias("_key"), "scale", "most", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    df = _with_distance(_meet(df, model, ["_key"], rules, "left")).withColumn("distance", F.when(~F.col("base_failed"), F.col("d2") / F.col("scale")))
+    limit = F.col("most") * (1 + rules.short_slack / F.greatest(F.col("n_words"), F.lit(1)))
+    return df.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True)))
 
 
 def judge(docs: DataFrame, rules: RobustRules = RobustRules()) -> DataFrame:
@@ -175,8 +203,8 @@ def judge(docs: DataFrame, rules: RobustRules = RobustRules()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: RobustRules = RobustRules()) -> DataFrame:
-    """The documents that are kept, with their own columns. Counts are made anew rather than joined back by id, which need not be unique."""
+    """The documents that are kept, with their own columns. Rows are written once with their statistics, so that counts are made once and
+    nothing is joined back by an id, which need not be unique."""
     bare = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text"), F.col("lang"), F.col("source"))
-    stats = write_table(with_stats(with_counts(bare.drop("_doc"), rules)).drop("text"), "statistics")
-    scored = score(with_stats(with_counts(bare, rules)), fit(stats, rules), rules)
-    return scored.filter("kept").select("_doc.*")
+    stats = write_table(with_stats(with_counts(bare, rules)).drop("text"), "statistics")
+    return score(stats, fit(stats, rules), rules).filter("kept").select("_doc.*")
