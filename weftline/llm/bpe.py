@@ -138,17 +138,21 @@ def _chunks(batches: Iterator, size: int) -> Iterator[tuple]:
                 begin, held, n = i + 1, 0, n + 1
 
 
-def _coded(texts: list[str], place: tuple[int, int], pattern: str) -> tuple[bytes, dict[str, int], list[list[str]]]:
-    """The chunk's name, its words by code in the order of their first place, and each text's pieces."""
+def _coded(texts: list[str], place: tuple[int, int], pattern: str, keep: bool) -> tuple[bytes, dict[str, int], list]:
+    """The chunk's name, its words by code in the order of their first place, and, if kept, the codes of each text's positions."""
+    import numpy as np
     from xxhash import xxh3_128
 
-    name, seen, pieces, find = xxh3_128(b"%d %d " % place), {}, [], _pieces(pattern)
+    name, codes, placed, find = xxh3_128(b"%d %d " % place), {}, [], _pieces(pattern)
     for x in texts:
         raw = x.encode()
         name.update(len(raw).to_bytes(8, "little") + raw)
-        pieces.append(find(x))
-        seen.update(dict.fromkeys(pieces[-1]))
-    return name.digest(), {w: i for i, w in enumerate(seen)}, pieces
+        pieces = find(x)
+        for w in dict.fromkeys(pieces):
+            codes.setdefault(w, len(codes))
+        if keep:
+            placed.append(np.fromiter(map(codes.__getitem__, pieces), np.uint32, len(pieces)))
+    return name.digest(), codes, placed
 
 
 def _word_rows(batches: Iterator, pattern: str, size: int, shards: int) -> Iterator:
@@ -156,16 +160,16 @@ def _word_rows(batches: Iterator, pattern: str, size: int, shards: int) -> Itera
     import pyarrow as pa
     import zstandard
 
+    zip_words = zstandard.ZstdCompressor(level=3).compress
     for *_, place, texts in _chunks(batches, size):
-        name, codes, _ = _coded(texts, place, pattern)
-        dealt: list[tuple[list, list]] = [([], []) for _ in range(shards)]
+        name, codes, _ = _coded(texts, place, pattern, False)
+        dealt: dict[int, tuple[list, list]] = {}
         for w, c in codes.items():
             raw = w.encode()
-            own = dealt[zlib.crc32(raw) % shards]
+            own = dealt.setdefault(zlib.crc32(raw) % shards, ([], []))
             own[0].append(c)
             own[1].append(raw)
-        zip_words = zstandard.ZstdCompressor(level=3).compress
-        rows = [(i, name, _pack(c), _pack([len(x) for x in w]), zip_words(b"".join(w))) for i, (c, w) in enumerate(dealt) if c]
+        rows = [(i, name, _pack(c), _pack([len(x) for x in w]), zip_words(b"".join(w))) for i, (c, w) in dealt.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], names=["shard", "chunk", "codes", "sizes", "words"])
 
@@ -198,13 +202,11 @@ def _answers(batches: Iterator, vocabulary: Vocabulary) -> Iterator:
 
 def _position_rows(batches: Iterator, pattern: str, size: int) -> Iterator:
     """(chunk, row, codes): the codes of each text's positions."""
-    import numpy as np
     import pyarrow as pa
 
     for batch, a, b, place, texts in _chunks(batches, size):
-        name, codes, pieces = _coded(texts, place, pattern)
-        packed = [_pack(np.fromiter(map(codes.__getitem__, p), np.uint32, len(p))) for p in pieces]
-        yield pa.RecordBatch.from_arrays([pa.array([name] * (b - a), pa.binary()), batch.column("_row").slice(a, b - a), pa.array(packed, pa.binary())], names=["chunk", "_row", "codes"])
+        name, _, placed = _coded(texts, place, pattern, True)
+        yield pa.RecordBatch.from_arrays([pa.array([name] * (b - a), pa.binary()), batch.column("_row").slice(a, b - a), pa.array(map(_pack, placed), pa.binary())], names=["chunk", "_row", "codes"])
 
 
 def _together(left, right):
@@ -233,20 +235,21 @@ def _together(left, right):
     return left.select(["_row"]).append_column("ids", ids)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", chunk_chars: int = 4_000_000, shards: int = 256) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", chunk_chars: int = 4_000_000, shard_chars: int = 16_000_000) -> DataFrame:
     """The columns of ``keep`` and ``ids``: array<int>, for every row of a table at rest.
 
-    A task holds the dictionary of one shard, so ``shards`` times a task's memory must hold the corpus's distinct words:
-    raise it for corpora beyond some terabytes.
+    There are as many shards as ``shard_chars`` fits into the texts' characters, so that a shard's dictionary and what its task reads
+    stay the same at every size; a chunk has a row for each shard that it has a word of.
     """
+    total = docs.agg(F.sum(F.length(F.col(text).cast("string")))).first()[0] or 0
+    shards = max(8, -(-total // shard_chars))
     pattern = vocabulary.pattern
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("_none"))
     source = docs.select(row.alias("_row"), F.col(text).cast("string").alias("_text"))
     row_type = source.schema["_row"].dataType
     words = source.mapInArrow(lambda it: _word_rows(it, pattern, chunk_chars, shards), "shard int, chunk binary, codes binary, sizes binary, words binary")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    told = words.repartition(min(shards, parts), "shard").sortWithinPartitions("shard").mapInArrow(lambda it: _answers(it, held.value), "chunk binary, codes binary, sizes binary, ids binary")
+    told = words.repartition(shards // 2, "shard").sortWithinPartitions("shard").mapInArrow(lambda it: _answers(it, held.value), "chunk binary, codes binary, sizes binary, ids binary")
     placed = source.mapInArrow(lambda it: _position_rows(it, pattern, chunk_chars), StructType([StructField("chunk", BinaryType()), StructField("_row", row_type), StructField("codes", BinaryType())]))
     both = placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda left, right: _together(left, right), StructType([StructField("_row", row_type), StructField("ids", ArrayType(IntegerType()))]))
     return both.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], "ids")
