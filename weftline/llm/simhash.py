@@ -23,6 +23,7 @@ from ._shared import write_table
 from .components import components
 
 SEED = 42
+PART = 1 << 14  # shingles whose bits are counted at once
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -33,10 +34,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    grams = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    hashes = np.array([xxh64_intdigest(b" ".join(g), SEED) for g in grams], dtype=">u8")
-    counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
+    n = max(1, len(words) - shingle + 1)
+    counts = np.zeros(64, dtype=np.int64)
+    for begin in range(0, n, PART):
+        part = words[begin : begin + PART + shingle - 1]
+        grams = zip(*(part[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
+        hashes = np.array([xxh64_intdigest(b" ".join(g), SEED) for g in grams], dtype=">u8")
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n).view(">i8")[0])
 
 
 @F.pandas_udf(LongType())
@@ -46,30 +51,36 @@ def fingerprint_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def segment_counts(fp: Column, segment_bits: int = 4) -> Column:
-    """Bit counts of the segments of 4 or 8 bits, each in its segment's place: the first steps of counting bits in parallel.
+    """Bit counts of the segments of 2, 4 or 8 bits, each in its segment's place: the first steps of counting bits in parallel.
 
     Pairs are counted by their sum and carry, since their top count may reach the sign bit.
     """
     ones, twos, fours = F.lit(0x5555555555555555), F.lit(0x3333333333333333), F.lit(0x0F0F0F0F0F0F0F0F)
     a, b = fp.bitwiseAND(ones), F.shiftrightunsigned(fp, 1).bitwiseAND(ones)
     pairs = a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
+    if segment_bits == 2:
+        return pairs
     counts = pairs.bitwiseAND(twos) + F.shiftrightunsigned(pairs, 2).bitwiseAND(twos)
     return counts if segment_bits == 4 else counts.bitwiseAND(fours) + F.shiftrightunsigned(counts, 4).bitwiseAND(fours)
 
 
 def near_pairs(nodes: DataFrame, segment_bits: int = 4) -> DataFrame:
-    """(u, v), u < v, of the nodes (node: long, fp: long, distinct) whose fingerprints differ in one or two bits."""
-    n = 64 // segment_bits
-    top = segment_bits
+    """(u, v), u < v, of the nodes (node: long, fp: long, distinct) whose fingerprints differ in one or two bits.
+
+    Cells of 4-bit segments tell some 2**32 random fingerprints apart, of 2-bit segments 2**48, for half as many offers again.
+    """
+    n, top = 64 // segment_bits, segment_bits
     steps = []
     for s in range(n):
-        one = 1 << (s * segment_bits)
         count = F.shiftrightunsigned("cell", s * segment_bits).bitwiseAND(F.lit((1 << segment_bits) - 1))
-        steps.append(F.when(count > 0, F.struct(F.lit(-1).alias("step"), F.lit(s).alias("seg"), (F.col("cell") - F.lit(one)).alias("at"))))
-        steps.append(F.when(count < top, F.struct(F.lit(1).alias("step"), F.lit(s).alias("seg"), (F.col("cell") + F.lit(one)).alias("at"))))
+        for step, possible in ((-1, count > 0), (1, count < top)):
+            # The segment's count is changed by its bits that differ, as a sum might pass the sign bit.
+            moved = F.col("cell").bitwiseXOR(F.shiftleft(count.bitwiseXOR(count + step), s * segment_bits))
+            steps.append(F.when(possible, F.struct(F.lit(step).alias("step"), F.lit(s).alias("seg"), moved.alias("at"))))
     own = F.struct(F.lit(0).alias("step"), F.lit(-1).alias("seg"), F.col("cell").alias("at"))
     points = nodes.withColumn("cell", segment_counts(F.col("fp"), segment_bits))
-    offers = points.select("node", "fp", F.explode(F.array_compact(F.array(own, *steps))).alias("o")).select("node", "fp", F.col("o.step").alias("step"), F.col("o.seg").alias("seg"), F.col("o.at").alias("at"))
+    offers = points.select("node", "fp", F.explode(F.array_compact(F.array(own, *steps))).alias("o"))
+    offers = offers.select("node", "fp", F.col("o.step").alias("step"), F.col("o.seg").alias("seg"), F.col("o.at").alias("at"))
     a, b = offers.alias("a"), offers.alias("b")
     # By the steps of both: in the same cell; one below; one below each, in different segments; two below.
     meet = F.expr("(a.step = 0 and b.step <= 0) or (a.step = -1 and b.step = -1 and a.seg <> b.seg) or (a.step = 1 and b.step = -1)")
@@ -78,30 +89,38 @@ def near_pairs(nodes: DataFrame, segment_bits: int = 4) -> DataFrame:
     return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
+ADDED = ["fingerprint", "component_id", "group", "text_hash"]
+FEW_NODES = 1 << 28  # distinct fingerprints that cells of 4-bit segments tell apart well enough
+
+
 def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Adds ``fingerprint`` (16 hexadecimal digits), ``component_id``, and ``group`` (the component's least fingerprint) and
-    ``text_hash`` in place of the text, which passes through Python once.
+    ``text_hash`` in place of the text, which passes through Python once. Columns of these names are replaced.
 
     Fingerprints are the nodes, not ids: an id may be repeated with other texts.
     """
-    rest = [c for c in docs.columns if c != text]
-    prints = write_table(docs.select(*rest, fingerprint_udf(F.col(text)).alias("_fp"), F.xxhash64(text).alias("text_hash")), "fingerprints")
-    nodes = write_table(prints.groupBy(F.col("_fp").alias("node")).agg(F.min(doc_id).alias("least")), "nodes")
-    roots = components(near_pairs(nodes.select("node", F.col("node").alias("fp"))))
-    grouped = write_table(nodes.join(roots, "node", "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("group"), "least"), "groups")
+    rest = [c for c in docs.columns if c != text and c not in ADDED]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row")
+    prints = docs.select(row, F.col(f"`{doc_id}`").alias("id"), fingerprint_udf(F.col(f"`{text}`")).alias("fp"), F.xxhash64(f"`{text}`").alias("text_hash"))
+    prints = write_table(prints, "fingerprints")
+    nodes = write_table(prints.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("least")), "nodes")
+    roots = components(near_pairs(nodes.select("node", F.col("node").alias("fp")), 4 if nodes.count() <= FEW_NODES else 2))
+    grouped = nodes.join(roots, "node", "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("group"), "least")
+    grouped = write_table(grouped, "groups")
     named = grouped.select("fp", "group").join(grouped.groupBy("group").agg(F.min("least").alias("component_id")), "group")
-    joined = prints.join(named, prints["_fp"] == named["fp"])
-    return joined.select(*rest, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "group", "text_hash")
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return prints.join(named, "fp").select("_row.*", digits.alias("fingerprint"), "component_id", "group", "text_hash")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group: that whose id names the component, and of rows that repeat its id one.
 
-    A group without any id keeps one row too. The texts are shuffled once, to meet the narrow list of who stays.
+    A group without any id keeps one row too. Rows that repeat an id and its text become one before they are shuffled; the texts are
+    shuffled once, to meet the narrow list of who stays, which is dealt by the same key.
     """
+    key = lambda doc_id, h: F.concat(F.coalesce(F.concat(F.lit("+"), doc_id), F.lit("-")), F.lit(":"), h)
     groups = cluster(docs.select("doc_id", "text"))
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
-    first = write_table(first.select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash")), "first")
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = keyed.join(first.select("_id", F.col("_hash").alias("_h")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    first = write_table(first.select(key(F.col("s.doc_id"), F.col("s.text_hash")).alias("_key")), "first")
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), key(F.col("doc_id"), F.xxhash64("text")).alias("_key"))
+    return keyed.dropDuplicates(["_key"]).join(first, "_key", "left_semi").select("_doc.*")
