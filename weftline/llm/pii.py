@@ -76,7 +76,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             at = text.find("@", last)
         else:
             at = text.find("@", at + 1)
-    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))]
+    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(d := x.lstrip("0")) < 4 and int(d or "0") <= 255 for x in m[0].split("."))]
     found += [("card", *m.span()) for m in _CARD.finditer(text) if 16 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
     return found
@@ -106,6 +106,46 @@ def features(text: str, span: tuple[str, int, int]) -> list[float]:
     ]
 
 
+def _apart(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _likeliest(scored: list[tuple[float, tuple[str, int, int]]]) -> list[tuple[str, int, int]]:
+    """Spans from the likeliest down, without those that overlap a taken one; spans that no chain of overlaps joins are settled apart."""
+    out: list[tuple[str, int, int]] = []
+    group: list[tuple[float, tuple[str, int, int]]] = []
+    end = -1
+
+    def settle() -> None:
+        taken: list[tuple[int, int, str]] = []  # by place
+        for _, (kind, a, b) in sorted(group, key=lambda x: (-x[0], x[1][1], x[1])):
+            at = bisect.bisect_left(taken, (b,))  # the first that begins at b or later
+            if not at or taken[at - 1][1] <= a:
+                taken.insert(at, (a, b, kind))
+        out.extend((kind, a, b) for a, b, kind in taken)
+        group.clear()
+
+    for p, span in sorted(scored, key=lambda x: x[1][1:]):
+        if span[1] >= end:
+            settle()
+        group.append((p, span))
+        end = max(end, span[2])
+    settle()
+    return out
+
+
+SCORED = 4096  # candidates that are scored at once
+
+
 @dataclass
 class Detector:
     forest: Forest
@@ -113,21 +153,23 @@ class Detector:
 
     def spans(self, text: str | None) -> tuple[list, list]:
         """The base spans, and all spans."""
+        import numpy as np
+
         if not text:
             return [], []
         base = base_spans(text)
-        more = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for _, s, e in base)]
-        if more:
-            import numpy as np
+        starts, ends = _apart(base)
+
+        def free(c: tuple[str, int, int]) -> bool:
+            at = bisect.bisect_left(starts, c[2])  # those before begin before c ends
+            return not at or ends[at - 1] <= c[1]
 
-            p = self.forest.probability(np.array([features(text, c) for c in more]))
-            chosen: list[tuple[int, int, str]] = []  # by place; they do not overlap
-            for c, _ in sorted(((c, x) for c, x in zip(more, p, strict=True) if x >= self.thresholds[c[0]]), key=lambda y: (-y[1], y[0][1], y[0])):
-                at = bisect.bisect_left(chosen, (c[2],))  # the first that begins at the end of c or later
-                if not at or chosen[at - 1][1] <= c[1]:
-                    chosen.insert(at, (c[1], c[2], c[0]))
-            more = [(kind, start, end) for start, end, kind in chosen]
-        return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+        more, scored = [c for c in candidates(text) if free(c)], []
+        for i in range(0, len(more), SCORED):
+            part = more[i : i + SCORED]
+            p = self.forest.probability(np.array([features(text, c) for c in part]))
+            scored += [(x, c) for c, x in zip(part, p.tolist(), strict=True) if x >= self.thresholds[c[0]]]
+        return base, sorted(base + _likeliest(scored), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 # --- training texts -------------------------------------------------------------------------------------------------
@@ -215,7 +257,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, detector: Detector, text: str = "text") -> DataFrame:
-    """Adds ``pii``: a struct of counts by base kind, the base spans' digest, and all spans."""
+    """Adds ``pii``, in place of a column of that name: a struct of counts by base kind, the base spans' digest, and all spans."""
 
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.DataFrame:
@@ -225,7 +267,7 @@ def find(docs: DataFrame, detector: Detector, text: str = "text") -> DataFrame:
             rows.append((*(sum(s[0] == k for s in base) for k in BASE_KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
         return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.withColumn("pii", spans(F.col(text)))
+    return docs.withColumn("pii", spans(F.col(f"`{text}`")))
 
 
 def redacted(text: str | None, detector: Detector) -> str | None:
