@@ -2,7 +2,7 @@
 
 Fixed rules decide the urls they fit. Those are also the labelled urls: trees are trained on a bounded sample of them
 and decide the others. Features are length, depth, digit ratio, entropy, parameter counts, and statistics of address
-suffixes, which are grouped counts over all labelled urls. All of it is native: features and trees are expressions.
+suffixes, domains and their sections: their share of all urls, and how many of their labelled urls, but those of the url's own fold, are blocked. All of it is native: features and trees are expressions.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule, and is judged by its
 features; repeated rows are judged alike; a table without labelled urls allows what no rule decides; an empty table
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import ascii_lower, sample_rows, write_table
-from .boosting import train
+from .boosting import Forest, train
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,10 @@ class Rule:
 # The rules.
 RULES = (Rule("com", "/", True), Rule("example.com", "/en/", False), Rule("www.example.com", "/en/", True), Rule("net", "/es/", False), Rule("net", "/fr/", False))
 
-FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digits", "entropy", "params", "value_length", "hyphens", "fragment", "secure", "suffix_log", "suffix_block", "domain_log", "domain_block"]
+#: The last two labels, or three where a country's second-level label stands before its code.
+DOMAIN = r"([^.]+\.(?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}|[^.]+))$"
+
+FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digits", "entropy", "params", "value_length", "hyphens", "fragment", "secure", "suffix_log", "suffix_block", "domain_log", "domain_block", "section_log", "section_block"]
 
 
 @dataclass(frozen=True)
@@ -76,33 +79,62 @@ def with_features(pages: DataFrame, url: str = "url") -> DataFrame:
     count = lambda c, name: (F.length(name) - F.length(F.regexp_replace(name, c, ""))).cast("double")
     query = F.regexp_extract("_url", r"\?([^#]*)", 1)
     return df.withColumns({
-        "suffix": F.regexp_extract("host", r"([^.]*)$", 1), "domain": F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1),
+        "suffix": F.regexp_extract("host", r"([^.]*)$", 1), "domain": F.regexp_extract("host", DOMAIN, 1), "section": F.concat(F.regexp_extract("host", DOMAIN, 1), F.regexp_extract("path", r"^(/[^/]*)", 1)),
         "length": F.length("_url").cast("double"), "host_length": F.length("host").cast("double"), "path_length": F.length("path").cast("double"), "depth": count("/", "path"), "labels": count(r"\.", "host"),
         "digits": count("[0-9]", "_url") / F.greatest(F.length("_url"), F.lit(1)), "entropy": _entropy(F.col("_url")), "params": F.when(F.length(query) > 0, F.size(F.split(query, "&")).cast("double")).otherwise(F.lit(0.0)),
         "value_length": F.length(query).cast("double"), "hyphens": count("[-_]", "_url"), "fragment": F.contains("_url", F.lit("#")).cast("double"), "secure": F.startswith("_url", F.lit("https")).cast("double"),
     }).drop("_url")
 
 
-def _suffix_table(labelled: DataFrame, key: str, rate: float, smoothing: float) -> DataFrame:
-    counts = labelled.groupBy(key).agg(F.count("*").alias("n"), F.sum((F.col("verdict") == "block").cast("long")).alias("blocked"))
-    return write_table(counts.select(F.col(key).alias(f"_{key}"), F.log1p("n").alias(f"{key}_log"), ((F.col("blocked") + rate * smoothing) / (F.col("n") + smoothing)).alias(f"{key}_block")).repartition(1), key)
+NAMES = ("suffix", "domain", "section")
+FOLDS = 4
 
 
-def judge(pages: DataFrame, config: Filter = Filter(), url: str = "url", key: str = "page_id") -> DataFrame:
-    """Adds host, path, rule, verdict, and ``score`` (of the trees; above zero blocks) in place of the other columns but ``key``.
+def _suffix_table(found: DataFrame, key: str) -> DataFrame:
+    """For each value of ``key`` how many urls have it, and by fold how many of these are labelled and how many of those blocked."""
+    inside = [F.col("fold") == k for k in range(FOLDS)]
+    labelled = F.array(*[F.count_if(x & F.col("verdict").isNotNull()) for x in inside])
+    blocked = F.array(*[F.count_if(x & (F.col("verdict") == "block")) for x in inside])
+    return write_table(found.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"), labelled.alias("_l"), blocked.alias("_b")), key)
+
 
-    A suffix table has a row for each suffix; Spark broadcasts it if its files are below the session's threshold and
-    else joins by sorted keys, splitting what is skewed.
+def with_suffixes(found: DataFrame, total: int, rate: float, smoothing: float) -> DataFrame:
+    """Adds the statistics of suffix, domain, and section (the domain with the path's first part): the logarithm of their share of all urls, and how many of their labelled urls are blocked.
+
+    Urls are dealt to folds by a hash, and a url is judged by the labels of the other folds only: neither its own label nor that of
+    another row with the same url can be read from its features. A table of counts has a row for each suffix; Spark broadcasts it
+    if its files are below the session's threshold and else joins by sorted keys, splitting what is skewed.
     """
-    found = with_features(pages.select(key, url), url).withColumn("_d", decided(config.rules))
-    found = write_table(found.select(key, "host", "path", "suffix", "domain", *FEATURES[:12], F.col("_d.rule").alias("rule"), F.col("_d.verdict").alias("verdict")), "features")
-    labelled = found.filter("rule is not null")
-    total = labelled.agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("b")).first()
-    rate = total.b / total.n if total.n else 0.0
     df = found
-    for name in ("suffix", "domain"):
-        df = df.join(_suffix_table(labelled, name, rate, config.smoothing), F.col(name) == F.col(f"_{name}"), "left").withColumns({f"{name}_log": F.coalesce(f"{name}_log", F.lit(0.0)), f"{name}_block": F.coalesce(f"{name}_block", F.lit(rate))})
-    sample = df.filter("rule is not null").withColumn("label", (F.col("verdict") == "block").cast("double"))
-    sample = write_table(sample_rows(sample.select(key, "label", *FEATURES), config.sample).select("label", *FEATURES), "sample")
-    score = train(sample, FEATURES).column()
-    return df.select(key, "host", "path", "rule", F.coalesce("verdict", F.when(score > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), score.alias("score"))
+    elsewhere = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) - F.get(c, F.col("fold"))
+    for x in NAMES:
+        df = df.join(_suffix_table(found, x), F.col(x) == F.col("_key"))
+        share = (elsewhere(F.col("_b")) + rate * smoothing) / (elsewhere(F.col("_l")) + smoothing)
+        df = df.withColumns({f"{x}_log": F.log(F.col("_n") / total), f"{x}_block": share}).drop("_key", "_n", "_l", "_b")
+    return df
+
+
+def features(pages: DataFrame, config: Filter = Filter(), url: str = "url", keep: list[str] | None = None) -> DataFrame:
+    """A written table: the columns of ``keep`` as ``_kept``, host, path, the rule's name and verdict, and all features."""
+    bare = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep or []], F.lit(0).alias("_none")).alias("_kept"), F.col(f"`{url}`").alias("_address"))
+    found = with_features(bare, "_address").withColumn("_d", decided(config.rules))
+    fold = F.pmod(F.xxhash64("_address"), F.lit(FOLDS)).cast("int")
+    found = found.select("_kept", "host", "path", fold.alias("fold"), *NAMES, *FEATURES[:12], F.col("_d.rule").alias("rule"), F.col("_d.verdict").alias("verdict"))
+    found = write_table(found, "features")
+    all_urls = found.agg(F.count("*").alias("n"), F.count("verdict").alias("l"), F.count_if(F.col("verdict") == "block").alias("b")).first()
+    return with_suffixes(found, max(1, all_urls.n), all_urls.b / all_urls.l if all_urls.l else 0.0, config.smoothing)
+
+
+def fit(found: DataFrame, config: Filter = Filter()) -> Forest:
+    """Trees from a bounded sample of the labelled urls, those that a rule decides."""
+    sample = found.filter("rule is not null").withColumn("label", (F.col("verdict") == "block").cast("double"))
+    sample = sample_rows(sample.select("host", "path", "label", *FEATURES), config.sample).select("label", *FEATURES)
+    return train(write_table(sample, "sample"), FEATURES)
+
+
+def judge(pages: DataFrame, config: Filter = Filter(), url: str = "url", key: str = "page_id") -> DataFrame:
+    """Adds host, path, rule, verdict, and ``score`` (of the trees; above zero blocks) in place of the other columns but ``key``."""
+    found = features(pages, config, url, [key])
+    score = fit(found, config).column()
+    verdict = F.coalesce("verdict", F.when(score > 0, F.lit("block")).otherwise(F.lit("allow")))
+    return found.select(F.col(f"_kept.`{key}`").alias(key), "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
