@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import raw_text
 from ._shared import write_table
-from .urls import parts
+from .urls import DOMAIN, parts
 
 
 @dataclass(frozen=True)
@@ -115,10 +115,10 @@ def identify(pages: DataFrame, model: TextModel, key: str = "page_id", url: str
     scored = pages.select(key, host.alias("host"), declared(F.col(html)).alias("declared"), text_scores(raw_text(F.col(html))).alias("t"))
     best = F.array_position("t", F.array_max("t")).cast("int")
     some = F.array_max("t") > F.array_min("t") if len(langs) > 1 else F.lit(True)
-    scored = scored.withColumns({"suffix": F.regexp_extract("host", r"([^.]*)$", 1), "domain": F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1), "v": F.when(some, best).otherwise(F.lit(0))})
+    scored = scored.withColumns({"suffix": F.regexp_extract("host", r"([^.]*)$", 1), "domain": F.regexp_extract("host", DOMAIN, 1), "v": F.when(some, best).otherwise(F.lit(0))})
     scored = write_table(scored, "evidence")
     total = [F.count_if(F.col("v") == i + 1).cast("double").alias(f"n{i}") for i in range(len(langs))]
-    counts = lambda k: write_table(scored.groupBy(F.col(k).alias(f"_{k}")).agg(F.array(*total).alias(f"c_{k}")).repartition(1), k)
+    counts = lambda k: write_table(scored.groupBy(F.col(k).alias(f"_{k}")).agg(F.array(*total).alias(f"c_{k}")), k)
     all_pages = scored.agg(*total).first()
     n_all = sum(all_pages) + len(langs)
     base = [(x + 1) / n_all for x in all_pages]
