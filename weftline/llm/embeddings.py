@@ -32,7 +32,7 @@ class PStable:
     cosine: float = 0.9
     width: float = 2.0  # of a quantisation step
     miss: float = 0.02  # chance that a pair at the threshold shares no bucket
-    unlike: int = 64  # orthogonal vectors to expect in a bucket
+    unlike: int = 512  # orthogonal vectors to expect in a bucket: more of them, fewer tables
     block: int = 1024  # classes that a unit compares with as many others
     seed: int = 23
 
@@ -48,30 +48,53 @@ class PStable:
         return k, max(1, math.ceil(math.log(self.miss) / math.log1p(-p)))
 
 
-def _signatures(batches: Iterator, k: int, tables: int, width: float, seed: int) -> Iterator:
-    """Adds to each class the buckets of all tables, as 32-bit hashes; a length has projections of its own."""
+GRID = 2.0**20  # vectors and projections are rounded to this for hashing, so that sums are exact and every task finds the same buckets
+
+
+class _Hasher:
+    """Buckets of unit vectors, as 32-bit hashes; a length has projections of its own."""
+
+    def __init__(self, shape: tuple[int, int], config: PStable) -> None:
+        (self.k, self.tables), self.width, self.seed = shape, config.width, config.seed
+        self.cache: dict[int, tuple] = {}
+
+    def __call__(self, x):
+        import numpy as np
+
+        d, k, tables = x.shape[1], self.k, self.tables
+        if d not in self.cache:
+            r = np.random.default_rng([self.seed, d])
+            a = np.rint(r.standard_normal((d, tables * k)) * GRID) / GRID
+            self.cache[d] = a, r.uniform(0, self.width, tables * k), r.integers(1, 2**63, (tables, k), dtype=np.uint64) | np.uint64(1)
+        a, b, mixers = self.cache[d]
+        q = np.floor((np.rint(x * GRID) / GRID @ a + b) / self.width).astype(np.int64).astype(np.uint64).reshape(-1, tables, k)
+        h = (q * mixers).sum(axis=2, dtype=np.uint64)
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _unit_length(x):
+    """Divided by the largest component first: squares of tiny or huge components neither vanish nor overflow."""
+    import numpy as np
+
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _signatures(batches: Iterator, shape: tuple[int, int], config: PStable) -> Iterator:
+    """Adds to each class the buckets of all tables."""
     import numpy as np
     import pyarrow as pa
 
-    cache: dict[int, tuple] = {}
+    hasher, tables = _Hasher(shape, config), shape[1]
     for batch in batches:
         vectors = batch.column("e")
         sizes = np.diff(vectors.offsets.to_numpy())
         flat, starts = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64), vectors.offsets.to_numpy()[:-1]
         out = np.empty((len(sizes), tables), dtype=np.int32)
         for d in np.unique(sizes):
-            if d not in cache:
-                r = np.random.default_rng([seed, int(d)])
-                cache[d] = r.standard_normal((d, tables * k)), r.uniform(0, width, tables * k), r.integers(1, 2**63, (tables, k), dtype=np.uint64) | np.uint64(1)
-            a, b, mixers = cache[d]
             own = np.flatnonzero(sizes == d)
-            x = flat[starts[own][:, None] + np.arange(d)]
-            # Divided by the largest component first: squares of tiny or huge components neither vanish nor overflow.
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            q = np.floor((x @ a + b) / width).astype(np.int64).astype(np.uint64).reshape(-1, tables, k)
-            h = (q * mixers).sum(axis=2, dtype=np.uint64)
-            out[own] = ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            for part in np.array_split(own, max(1, len(own) // 1024)):
+                out[part] = hasher(_unit_length(flat[starts[part][:, None] + np.arange(d)]))
         buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * tables, pa.int32()), pa.array(out.ravel(), pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), vectors, buckets], names=["h", "n", "e", "sig"])
 
@@ -91,18 +114,15 @@ def _roots(n: int, i, j):
         root = new
 
 
-def _unit(rows: dict, cosine: float) -> tuple | None:
+def _unit(rows: dict, cosine: float, hasher: _Hasher) -> tuple | None:
     """The links of a unit: (class, weight of its links, root) of the classes that have some."""
     import numpy as np
 
     i, j, table = rows["i"][0], rows["j"][0], rows["t"][0]
     e, block = rows["e"], rows["block"]
-    x = np.stack(e).astype(np.float64) if len({len(v) for v in e}) == 1 else None
-    if x is None:  # lengths differ only by a chance collision of hashes
-        top = max(map(len, e))
-        x = np.stack([np.pad(np.asarray(v, np.float64), (0, top - len(v))) for v in e])
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = np.array([len(v) for v in e])
+    top = sizes.max()  # lengths differ only by a chance collision of hashes
+    x = _unit_length(np.stack(e if sizes.min() == top else [np.pad(np.asarray(v, np.float64), (0, top - len(v))) for v in e]).astype(np.float64))
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
     if len(left) == 0 or len(right) == 0:
@@ -111,13 +131,17 @@ def _unit(rows: dict, cosine: float) -> tuple | None:
     a, b = left[a], right[b]
     if i == j:
         a, b = a[a < b], b[a < b]
-    if len(a):
-        sizes = np.array([len(v) for v in e])
-        fresh = sizes[a] == sizes[b]
-        sig = np.stack(rows["sig"])
-        for t in range(table):  # counted where they met first
-            fresh &= sig[a, t] != sig[b, t]
-        a, b = a[fresh], b[fresh]
+    alike = sizes[a] == sizes[b]
+    a, b = a[alike], b[alike]
+    if len(a) and table:
+        # Counted where they met first: the buckets of earlier tables are computed anew rather than sent along.
+        some, sig = np.unique(np.concatenate([a, b])), np.zeros((len(e), table), dtype=np.int32)
+        for d in np.unique(sizes[some]):
+            own = some[sizes[some] == d]
+            sig[own] = hasher(x[own, :d])[:, :table]
+        for t in range(table):
+            fresh = sig[a, t] != sig[b, t]
+            a, b = a[fresh], b[fresh]
     if not len(a):
         return None
     n = rows["n"]
@@ -131,22 +155,24 @@ def _unit(rows: dict, cosine: float) -> tuple | None:
     return rows["h"][some], weight[some].astype(np.int64), rows["h"][root[some]]
 
 
-def _compare(batches: Iterator, cosine: float) -> Iterator:
+def _compare(batches: Iterator, shape: tuple[int, int], config: PStable) -> Iterator:
     """Runs over sorted units; a unit may go on in the next batch."""
     import numpy as np
     import pyarrow as pa
 
+    hasher, cosine = _Hasher(shape, config), config.cosine
+
     def flush(parts):
         if sum(len(p["h"]) for p in parts) < 2:
             return None
-        return _unit({c: np.concatenate([p[c] for p in parts]) for c in parts[0]}, cosine)
+        return _unit({c: np.concatenate([p[c] for p in parts]) for c in parts[0]}, cosine, hasher)
 
     def batch_of(found):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found]), pa.int64()) for c in range(3)], names=["h", "links", "root"])
 
     last, held, found = None, [], []
     for batch in batches:
-        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "b", "i", "j", "block", "h", "n", "e", "sig")}
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "b", "i", "j", "block", "h", "n", "e")}
         keys = np.stack([cols["t"], cols["b"], cols["i"], cols["j"]], axis=1)
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -169,29 +195,34 @@ def _compare(batches: Iterator, cosine: float) -> Iterator:
 
 def link(vectors: DataFrame, config: PStable = PStable(), vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Adds n_links, component_id and kept to every row, in place of the vector."""
-    e = F.col(embedding)
+    e = F.col(f"`{embedding}`")
     numbers = F.transform(e, lambda x: x + F.lit(0).cast("float"))  # no negative zeros, which would hash apart
     usable = F.coalesce(e.isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
-    rest = [c for c in vectors.columns if c != embedding]
-    every = vectors.select(*rest, F.when(usable, F.xxhash64(numbers)).alias("_h"), F.when(usable, numbers).alias("_e"))
-    rows = every.filter("_h is not null")
-    classes = write_table(rows.groupBy(F.col("_h").alias("h")).agg(F.count("*").alias("n"), F.min(vec_id).alias("least"), F.first("_e").alias("e")), "classes")
-    k, tables = config.shape(classes.count())
-    width, seed, cosine = config.width, config.seed, config.cosine
+    rest = [c for c in vectors.columns if c not in (embedding, "n_links", "component_id", "kept")]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
+    every = vectors.select(row, F.col(f"`{vec_id}`").alias("id"), F.when(usable, F.xxhash64(numbers)).alias("h"), F.when(usable, numbers).alias("e"))
+    rows = every.filter("h is not null")
+    classes = write_table(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first("e").alias("e")), "classes")
+    shape = config.shape(classes.count())
     e_type = dict(classes.dtypes)["e"]
-    hashed = write_table(classes.select("h", "n", "e").mapInArrow(lambda it: _signatures(it, k, tables, width, seed), f"h long, n long, e {e_type}, sig array<int>"), "hashed")
-    crowded = hashed.select(F.posexplode("sig").alias("t", "b")).groupBy("t", "b").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
+    hashed = classes.select("h", "n", "e").mapInArrow(lambda it: _signatures(it, shape, config), f"h long, n long, e {e_type}, sig array<int>")
+    hashed = write_table(hashed, "hashed")
+    placed = hashed.select("h", F.posexplode("sig").alias("t", "b"))
+    crowded = placed.groupBy("t", "b").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
     crowded = write_table(crowded.withColumn("blocks", F.ceil(F.col("m") / config.block).cast("int")).drop("m"), "crowded")
-    met = hashed.select("h", "n", "e", "sig", F.posexplode("sig").alias("t", "b")).join(crowded, ["t", "b"])
-    block = F.pmod(F.hash("h"), F.col("blocks"))
-    met = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = met.select("t", "b", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "h", "n", "e", "sig")
-    found = units.repartition("t", "b", "i", "j").sortWithinPartitions("t", "b", "i", "j").mapInArrow(lambda it: _compare(it, cosine), "h long, links long, root long")
-    found = write_table(found, "found")
+    # Who meets where is found without the vectors, which then come once for each unit of their class.
+    met = placed.join(crowded, ["t", "b"]).withColumn("block", F.pmod(F.hash("h"), F.col("blocks")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = met.select("h", "t", "b", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    found = units.join(classes.select("h", "n", "e"), "h").repartition("t", "b", "i", "j").sortWithinPartitions("t", "b", "i", "j")
+    found = write_table(found.mapInArrow(lambda it: _compare(it, shape, config), "h long, links long, root long"), "found")
     roots = components(found.select(F.col("h").alias("u"), F.col("root").alias("v")))
-    grouped = classes.select("h", "n", "least").join(found.groupBy("h").agg(F.sum("links").alias("links")), "h", "left").join(roots.withColumnRenamed("node", "h"), "h", "left")
+    links = found.groupBy("h").agg(F.sum("links").alias("links"))
+    grouped = classes.select("h", "n", "least").join(links, "h", "left").join(roots.withColumnRenamed("node", "h"), "h", "left")
     grouped = write_table(grouped.select("h", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "h").alias("root")), "grouped")
-    named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("h").alias("_h"), (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
-    linked = rows.drop("_e").join(named, "_h").select(*rest, "n_links", "component_id")
-    alone = every.filter("_h is null").select(*rest, F.lit(0).cast("long").alias("n_links"), F.col(vec_id).alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col(vec_id) == F.col("component_id"), F.lit(False)))
+    named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    named = named.select("h", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
+    linked = rows.select("row", "id", "h").join(named, "h").select("row", "id", "n_links", "component_id")
+    alone = every.filter("h is null").select("row", "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    return linked.unionByName(alone).select("row.*", "n_links", "component_id", kept.alias("kept"))
