@@ -400,3 +400,25 @@ def queries_written(df, name):
     from weftline.llm._shared import write_table
 
     return write_table(df, name)
+
+
+def test_license_whole_texts(spark):
+    """Whole texts with names, years and an edit filled in are known; the phrases alone are not."""
+    import time
+
+    from weftline.llm.license_texts import TEXTS
+
+    rows = []
+    for i, (_, text, _) in enumerate(TEXTS):
+        words = text.split()
+        at = 4 * len(words) // 5
+        rows.append((i, "Copyright 2020 Some One. " + " ".join([*words[:at], "or", "its", "kin", *words[at:]]) + " nothing else"))
+    rows += [(100, "permission is hereby granted free of charge to all who read neither the name of nor more"), (101, "machine executable object code generated by a source language processor")]
+    rows.append((200, "Licensed under the Apache License, Version 2.0, " * 100_000))
+    begin = time.perf_counter()
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.perf_counter() - begin < 60
+    for i, (label, _, _) in enumerate(TEXTS):
+        assert label in got[i].labels.split(","), (label, got[i])
+    assert got[100].labels == got[101].labels == ""
+    assert got[200].n_base == 100_000 and got[200].labels == "apache"

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import let
+from .license_texts import TEXTS
 
 #: Everything ASCII that is no digit and no lower-case letter separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,20 +48,22 @@ TEMPLATES = [
     ("proprietary", "all rights reserved do not redistribute without permission", ["all rights reserved"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["released into the public domain"]),
 ]
+TEMPLATES += [(label, " ".join(re.findall("[0-9a-z]+", text.lower())), keys) for label, text, keys in TEXTS]
 
 
 @dataclass(frozen=True)
 class Scan:
-    rare: int = 5  # index words of each template
+    rare: int = 8  # index words of each template
     agree: float = 0.6  # share of the index, by weight, that must agree on a place
-    slack: int = 2  # words by which places may differ
+    slack: int = 2  # words by which places may differ, at least
+    words_a_slack: int = 20  # and one more for so many words of the template: names and years that are filled in move what follows
 
 
 def normal(text: Column) -> Column:
     """The words joined by single spaces, with one at either end.
 
-    ``lower`` also changes letters beyond ASCII, but makes none of them a whole ASCII word or a separator, so that places
-    and counts are those of lower-casing A-Z only (which, letter by letter, costs several times more).
+    ``lower`` also changes letters beyond ASCII. It makes none of them a separator, so that places and counts are those of lower-casing
+    A-Z only (which, letter by letter, costs several times more). Only the Kelvin sign becomes an ASCII letter, k, which no base phrase has.
     """
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " ")), F.lit(" "))
 
@@ -120,29 +123,39 @@ def _places(words: Column, phrase: str) -> Column:
     return let(words, whole)
 
 
-def _template_score(hits: Column, index: Index, t: int, scan: Scan) -> Column:
-    """The largest share, by weight, of a template's index that agrees on a place. hits: (w, i) of the file's index words."""
-    places = [(w, p) for w, posts in index.postings.items() for u, p in posts if u == t]
-    total = sum(index.weights[t].values())
+def _agreements(hits: Column, held: Column, index: Index, scan: Scan) -> Column:
+    """For each template of ``held`` that has votes: (t, best), the largest share, by weight, of its index that agrees on a place.
+    hits: (w, i) of the file's index words.
 
-    def best(h: Column) -> Column:
-        def voted(w: str, p: int) -> Column:
-            return F.transform(F.filter(h, lambda x: x["w"] == w), lambda x: F.struct((x["i"] - p).alias("at"), x["w"].alias("w")))
+    Votes are sorted by template and place and gone through once: the last place of each index word is kept, and at each vote those
+    count that lie near enough before it. A word counts once at a place, however often it stands near it.
+    """
+
+    def posting(w: str, t: int, p: int) -> Column:
+        names, total = list(index.weights[t]), sum(index.weights[t].values())
+        slack = max(scan.slack, len(TEMPLATES[t][1].split()) // scan.words_a_slack)
+        return F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(names.index(w)).alias("k"), F.lit(index.weights[t][w] / total).alias("w"), F.lit(slack).alias("slack"))
 
-        votes = F.flatten(F.array(*[voted(w, p) for w, p in places]))
+    known = F.create_map(*[x for w, posts in index.postings.items() for x in (F.lit(w), F.array(*[posting(w, t, p) for t, p in posts]))])
 
-        def agreed(v: Column) -> Column:
-            def near(x: Column) -> Column:
-                # A word counts once at a place, however often it stands near it.
-                same = F.array_distinct(F.transform(F.filter(v, lambda y: (y["at"] >= x["at"]) & (y["at"] <= x["at"] + scan.slack)), lambda y: y["w"]))
-                weight = lambda w: sum((F.when(w == k, F.lit(x)).otherwise(F.lit(0.0)) for k, x in index.weights[t].items()), F.lit(0.0))
-                return F.aggregate(same, F.lit(0.0), lambda a, w: a + weight(w))
+    def voted(h: Column) -> Column:
+        posts = F.filter(F.element_at(known, h["w"]), lambda q: F.array_contains(held, q["t"]))
+        return F.transform(posts, lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("at"), q["k"].alias("k"), q["w"].alias("w"), q["slack"].alias("slack")))
 
-            return F.array_max(F.transform(v, near))
+    empty = F.array().cast("array<struct<k:int,at:int,w:double>>")
+    none = F.array().cast("array<struct<t:int,best:double>>")
+    start = F.struct(F.lit(-1).alias("t"), F.lit(0.0).alias("best"), empty.alias("last"), none.alias("done"))
+    closed = lambda a: F.when(a["t"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(F.struct(a["t"].alias("t"), a["best"].alias("best")))))
 
-        return F.coalesce(let(votes, agreed) / total, F.lit(0.0))
+    def step(a: Column, x: Column) -> Column:
+        same = a["t"] == x["t"]
+        near = F.filter(F.when(same, a["last"]).otherwise(empty), lambda y: (y["k"] != x["k"]) & (y["at"] >= x["at"] - x["slack"]))
+        agreed = F.aggregate(near, x["w"], lambda n, y: n + y["w"])
+        last = F.concat(near, F.array(F.struct(x["k"].alias("k"), x["at"].alias("at"), x["w"].alias("w"))))
+        best = F.when(same, F.greatest(a["best"], agreed)).otherwise(agreed)
+        return F.struct(x["t"].alias("t"), best.alias("best"), last.alias("last"), F.when(same, a["done"]).otherwise(closed(a)).alias("done"))
 
-    return best(hits)
+    return F.aggregate(F.array_sort(F.flatten(F.transform(hits, voted))), start, step, closed)
 
 
 def scan(docs: DataFrame, config: Scan = Scan(), text: str = "text") -> DataFrame:
@@ -161,19 +174,18 @@ def scan_with(docs: DataFrame, index: Index, config: Scan = Scan(), text: str =
     df = df.withColumn("_words", F.when(F.col("_norm").rlike(f" (?:{keys}) "), F.split(F.trim("_norm"), " ")))
     bases = [F.when(F.col("_words").isNotNull(), _places(F.col("_words"), p)).alias(f"_b{i}") for i, p in enumerate(PHRASES)]
     hits = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*sorted(index.postings)))
-    df = df.select("doc_id", "n_words", "_norm", F.when(F.col("_words").isNotNull(), hits).alias("_hits"), *bases)
-    score = []
-    for t, (_, _, need) in enumerate(TEMPLATES):
-        held = F.lit(False)
-        for p in need:
-            held = held | F.contains("_norm", F.lit(f" {p} "))
-        score.append(F.when(F.col("_hits").isNotNull() & held, _template_score(F.col("_hits"), index, t, config)).otherwise(F.lit(0.0)).alias(f"_t{t}"))
-    df = df.select("doc_id", "n_words", *[f"_b{i}" for i in range(len(PHRASES))], *score)
+    phrases = sorted({p for _, _, need in TEMPLATES for p in need})
+    having = {p: F.when(F.contains("_norm", F.lit(f" {p} ")), F.array(*[F.lit(t) for t, (_, _, need) in enumerate(TEMPLATES) if p in need])) for p in phrases}
+    held = F.flatten(F.array_compact(F.array(*having.values())))
+    df = df.select("doc_id", "n_words", F.when(F.col("_words").isNotNull(), held).alias("_held"), F.when(F.col("_words").isNotNull(), hits).alias("_hits"), *bases)
+    df = df.withColumn("_found", F.when(F.size("_held") > 0, _agreements(F.col("_hits"), F.col("_held"), index, config)))
     base = F.array_compact(F.array(*[F.when(F.size(f"_b{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]))
-    method = F.array_compact(F.array(*[F.when(F.col(f"_t{t}") >= config.agree, F.lit(label)) for t, (label, _, _) in enumerate(TEMPLATES)]))
+    labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
+    method = F.transform(F.filter("_found", lambda x: x["best"] >= config.agree), lambda x: F.get(labels, x["t"]))
     every = F.flatten(F.array(*[F.coalesce(F.col(f"_b{i}"), F.array().cast("array<int>")) for i in range(len(PHRASES))]))
-    best = F.greatest(*[F.col(f"_t{t}") for t in range(len(TEMPLATES))])
-    df = df.select("doc_id", "n_words", every.alias("_at"), base.alias("_base"), method.alias("_method"), best.alias("_best"))
+    best = F.array_max(F.transform("_found", lambda x: x["best"]))
+    none = F.array().cast("array<string>")
+    df = df.select("doc_id", "n_words", every.alias("_at"), base.alias("_base"), F.coalesce(method, none).alias("_method"), F.coalesce(best, F.lit(0.0)).alias("_best"))
     return df.select(
         "doc_id", "n_words", F.size("_at").cast("long").alias("n_base"), F.array_min("_at").cast("long").alias("first_word"), F.array_max("_at").cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct("_base")), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.concat("_base", "_method"))), ",").alias("labels"),
