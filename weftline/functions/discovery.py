@@ -76,7 +76,7 @@ def link_header(header: Column) -> Column:
     """(url, rel, as_type, crossorigin) of ``<url>; rel=…``; null without an address or a rel."""
     parts = F.transform(F.split(header, ";"), F.trim)
     url = F.regexp_replace(F.get(parts, F.lit(0)), "^<+|>+$", "")
-    pairs = F.transform(F.slice(parts, 2, 100), lambda p: F.struct(F.lower(F.trim(F.split_part(p, F.lit("="), F.lit(1)))).alias("k"), F.when(F.contains(p, F.lit("=")), F.regexp_replace(F.trim(F.regexp_extract(p, "(?s)=(.*)$", 1)), '^"+|"+$', "")).alias("v")))
+    pairs = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(F.lower(F.trim(F.split_part(p, F.lit("="), F.lit(1)))).alias("k"), F.when(F.contains(p, F.lit("=")), F.regexp_replace(F.trim(F.regexp_extract(p, "(?s)=(.*)$", 1)), '^"+|"+$', "")).alias("v")))
     last = lambda k: F.try_element_at(F.filter(pairs, lambda p: p["k"] == k), F.lit(-1))
     rel, cross = last("rel")["v"], last("crossorigin")
     return F.when((url != "") & (F.coalesce(rel, F.lit("")) != ""), F.struct(url.alias("url"), rel.alias("rel"), last("as")["v"].alias("as_type"), F.when(cross.isNotNull(), F.coalesce(cross["v"], F.lit("anonymous"))).alias("crossorigin")))

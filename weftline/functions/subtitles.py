@@ -38,7 +38,7 @@ def parse_srt(body: Column) -> Column:
         times = F.split(F.get(lines, F.lit(1)), "-->")
         ms = lambda i: T.srt_ms(F.trim(F.get(times, F.lit(i))))
         numbered = F.trim(F.get(lines, F.lit(0))).rlike(r"^\d+$") & (F.size(times) == 2)
-        return F.when(numbered & ms(0).isNotNull() & ms(1).isNotNull(), F.struct(ms(0).alias("start_ms"), ms(1).alias("end_ms"), F.array_join(F.slice(lines, 3, 100_000), "\n").alias("text")))
+        return F.when(numbered & ms(0).isNotNull() & ms(1).isNotNull(), F.struct(ms(0).alias("start_ms"), ms(1).alias("end_ms"), F.array_join(F.slice(lines, F.lit(3), F.size(lines)), "\n").alias("text")))
 
     return F.filter(F.transform(blocks, entry), lambda e: e.isNotNull())
 

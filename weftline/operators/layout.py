@@ -66,7 +66,7 @@ def markdown(rows: Column) -> Column:
     n = F.array_max(F.transform(rows, F.size))
     line = lambda r: F.concat(F.lit("|"), F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit(" "), F.coalesce(F.try_element_at(r, k), F.lit("")), F.lit(" |"))), ""), F.lit("\n"))
     rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit(" --- |"), n), ""), F.lit("\n"))
-    body = F.concat(line(F.get(rows, F.lit(0))), rule, F.array_join(F.transform(F.slice(rows, 2, 100_000), line), ""))
+    body = F.concat(line(F.get(rows, F.lit(0))), rule, F.array_join(F.transform(F.slice(rows, F.lit(2), F.size(rows)), line), ""))
     return F.when(F.coalesce(n, F.lit(0)) > 0, body).otherwise("")
 
 

@@ -34,7 +34,7 @@ def variants(playlists: DataFrame, key: str, url: str = "url", body: str = "body
     def step(acc: Column, line: Column) -> Column:
         took = F.when(F.startswith(line, F.lit("#")), acc["found"]).otherwise(F.concat(acc["found"], F.array(F.struct(acc["open"].alias("attrs"), line.alias("uri")))))
         closed = F.struct(F.lit(None).cast("string").alias("open"), took.alias("found"))
-        opened = F.struct(F.substring(line, len(INF) + 1, 1_000_000).alias("open"), acc["found"].alias("found"))
+        opened = F.struct(F.substr(line, F.lit(len(INF) + 1)).alias("open"), acc["found"].alias("found"))
         return F.when(acc["open"].isNotNull(), closed).when(F.startswith(line, F.lit(INF)), opened).otherwise(acc)
 
     rows = playlists.select(key, url, F.posexplode(F.aggregate(_lines(F.col(body)), zero, step, lambda a: a["found"])).alias("pos", "v"))
@@ -55,7 +55,7 @@ def segments(playlists: DataFrame, key: str, url: str = "url", body: str = "body
     Durations and the first sequence number hold from their lines on; a duration that is no number is the target so far.
     """
     rows = playlists.select(key, url, F.contains(F.col(body), F.lit("\n#EXT-X-ENDLIST")).alias("ended"), F.posexplode(_lines(F.col(body))).alias("pos", "line"))
-    tag = lambda name: F.when(F.startswith("line", F.lit(name)), F.substring("line", len(name) + 1, 1_000_000))
+    tag = lambda name: F.when(F.startswith("line", F.lit(name)), F.substr(F.col("line"), F.lit(len(name) + 1)))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     so_far = lambda value, default: F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(default))
     number = lambda name, kind, default: F.when(tag(name).isNotNull(), F.coalesce(tag(name).try_cast(kind), F.lit(default)))

@@ -19,10 +19,10 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, a title, a body, an author that is sometimes missing, and three counts."""
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    return d.select(i.alias("id"), F.regexp_replace(F.substring("text", 1, 24), r"[\n\t]", " ").alias("t"), F.regexp_replace(F.substring("text", 25, 60), r"[\n\t]", " ").alias("b"), F.when(i % 3 != 0, F.concat(F.lit("user"), i.cast("string"))).alias("a"), (i * i * 7).alias("n1"), (i * 11).alias("n2"), (i % 13).alias("n3"))
+    return d.select(i.alias("id"), F.split_part("text", F.lit(" "), F.lit(1)).alias("t"), F.regexp_replace("text", r"^[^ ]* ?", "").alias("b"), F.when(i % 3 != 0, F.concat(F.lit("user"), i.cast("string"))).alias("a"), (i * i * 7).alias("n1"), (i * 11).alias("n2"), (i % 13).alias("n3"))
 
 
-SQL_BASE = r"""WITH d AS (SELECT doc_id AS id, regexp_replace(text[1:24], '[\n\t]', ' ', 'g') AS t, regexp_replace(text[25:84], '[\n\t]', ' ', 'g') AS b, CASE WHEN doc_id % 3 <> 0 THEN 'user' || doc_id END AS a, doc_id * doc_id * 7 AS n1, doc_id * 11 AS n2, doc_id % 13 AS n3 FROM documents)
+SQL_BASE = r"""WITH d AS (SELECT doc_id AS id, split_part(text, ' ', 1) AS t, regexp_replace(text, '^[^ ]* ?', '') AS b, CASE WHEN doc_id % 3 <> 0 THEN 'user' || doc_id END AS a, doc_id * doc_id * 7 AS n1, doc_id * 11 AS n2, doc_id % 13 AS n3 FROM documents)
 """
 NL = "chr(10)"
 

@@ -14,16 +14,19 @@ from ._pairs import Pairs
 PAIRS = Pairs()
 
 
-@PAIRS.add("""SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS missing, '{"a":"[depth limit]","k":' || json_extract_string(props, '$.k') || ',"l":[1,2,"... +' || CASE WHEN event_id % 2 = 0 THEN '1' ELSE '3' END || ' more"]}' AS cut,
+@PAIRS.add("""SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS missing,
+ '{"a":{"b":null,"c":true},"k":' || json_extract_string(props, '$.k') || ',"l":[1,2,"... +' || CASE WHEN event_id % 2 = 0 THEN '1' ELSE '3' END || ' more"]}' AS cut,
+ '{"a":{"b":"[depth limit]","c":"[depth limit]"},"k":' || json_extract_string(props, '$.k') || ',"l":["[depth limit]",' || CASE WHEN event_id % 2 = 0 THEN '"[depth limit]","[depth limit]"]}' ELSE '"[depth limit]","[depth limit]","... +2 more"]}' END AS shallow,
+ '{"a":"[depth limit]","k":"[depth limit]","l":"[depth limit]"}' AS names,
  'a: {...}' || chr(10) || '  b: null' || chr(10) || '  c: bool' || chr(10) || 'k: number' || chr(10) || 'l: [' || CASE WHEN event_id % 2 = 0 THEN 3 ELSE 5 END || ' items]' AS outline FROM events""")
 def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths, cut values and outlines of JSON without a fixed schema."""
     items = F.when(F.col("event_id") % 2 == 0, "[1,2,3]").otherwise("[1,2,3,4,5]")
     text = F.concat(F.lit('{"l": '), items, F.lit(', "a": {"c": true, "b": null}, '), F.regexp_replace("props", r"^\{", ""))
     df = table(spark, sf_dir, "events").select("event_id", text.alias("j"))
-    # A depth of two keeps objects and the items of arrays in them; deeper values are notes.
-    cut = F.regexp_replace(J.pruned(F.col("j"), 2, 3), r'"a":\{[^}]*\}', '"a":"[depth limit]"')
-    return df.select("event_id", J.at_path(F.col("j"), "k").alias("k"), J.at_path(F.col("j"), "l.0").alias("missing"), cut.alias("cut"), J.outlined(F.col("j")).alias("outline"))
+    j = F.col("j")
+    cuts = [J.pruned(j, most, depth).alias(name) for name, most, depth in (("cut", 2, 3), ("shallow", 3, 2), ("names", 3, 1))]
+    return df.select("event_id", J.at_path(j, "k").alias("k"), J.at_path(j, "l.0").alias("missing"), *cuts, J.outlined(j).alias("outline"))
 
 
 @PAIRS.add("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '{"a":"}","id":' || page_id || '}' WHEN 1 THEN '[1,{"b":"\\\\""}]' WHEN 2 THEN '{"s":' || page_id || '}' END AS state FROM pages""".replace("\\\\", "\\"))

@@ -13,12 +13,12 @@ from .timeline import SQL_BASE, fused
 
 PAIRS = Pairs()
 
-SQL_ENTRIES = r"""e AS (SELECT conv_id, turn AS pos, turn * 5000 + 12 AS s, turn * 5000 + 4321 AS t, CASE WHEN turn % 3 <> 0 THEN role END AS speaker, regexp_replace(text, '\n\s*', chr(10), 'g')[1:60] || '{x}' AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(regexp_replace(text, '\s', '', 'g')) <> '')"""
+SQL_ENTRIES = r"""e AS (SELECT conv_id, turn AS pos, turn * 5000 + 12 AS s, turn * 5000 + 4321 AS t, CASE WHEN turn % 3 <> 0 THEN role END AS speaker, regexp_replace(text, '\n\s*', chr(10), 'g') || '{x}' AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(regexp_replace(text, '\s', '', 'g')) <> '')"""
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, entries): a recording's rows, in order, in one array: as many as it has turns."""
-    text = F.concat(F.substring(F.regexp_replace("text", r"\n\s*", "\n"), 1, 60), F.lit("{x}"))
+    text = F.concat(F.regexp_replace("text", r"\n\s*", "\n"), F.lit("{x}"))
     df = table(spark, sf_dir, "conversations").filter(F.regexp_replace("text", r"\s", "") != "")
     rows = df.select("conv_id", F.struct(F.col("turn").alias("pos"), (F.col("turn") * 5000 + 12).alias("start_ms"), (F.col("turn") * 5000 + 4321).alias("end_ms"), text.alias("text"), F.when(F.col("turn") % 3 != 0, F.col("role")).alias("speaker"), F.lit(None).cast("string").alias("style")).alias("e"))
     return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("e")).alias("entries"))

@@ -20,7 +20,7 @@ SPEAKER = "conv_id, turn AS r_pos, role AS speaker, turn * 4.0D - 0.3D AS r_star
 POINT = "user_id AS conv_id, event_id AS r_pos, event_type AS action, (event_id % 97) * 0.37D AS r_start"
 FUSED = """conv_id, turn AS pos, turn * 5.0D AS start, turn * 5.0D + 0.3D * (char_length(text) % 19) AS `end`,
  CASE WHEN turn % 7 = 3 THEN NULL WHEN turn % 4 < 2 THEN 'A' ELSE 'B' END AS speaker,
- CASE WHEN turn % 5 = 4 THEN NULL WHEN turn % 6 = 1 THEN concat(substr(text, 1, 30), ' Never') ELSE substr(text, 1, 30) END AS transcript,
+ CASE WHEN turn % 5 = 4 THEN NULL WHEN turn % 6 = 1 THEN concat(text, ' Never') ELSE text END AS transcript,
  CASE (conv_id + turn DIV 2) % 4 WHEN 0 THEN 'happy' WHEN 1 THEN 'sad' WHEN 2 THEN 'neutral' END AS emotion,
  ((conv_id * 7 + turn) % 100) / 100.0D AS confidence, CASE turn % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'walks' WHEN 2 THEN 'none' END AS action"""
 
