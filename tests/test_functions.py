@@ -183,3 +183,11 @@ def test_answered_stream(spark, tmp_path):
     read = lambda p, s: spark.readStream.schema(s).parquet(str(tmp_path / p))
     got = run(live.answered(read("q", "id long, req_ts timestamp"), read("p", "r_id long, resp_ts timestamp, outcome string")), "answers", spark)
     assert [r.id for r in got] == [1]
+
+
+def test_links_in_any_quotes(spark):
+    from weftline.functions import discovery as D
+
+    html = """<a class=x href='/a'>one</a><a href=/b>two <b>x</b></a><a data-href="/no" href = "/c">three</a><a href="/a">again</a><a href='#x'>no</a><A HREF="javascript:y">no</A><a>none</a>"""
+    row = spark.createDataFrame([(html,)], "html string").select(D.links(D.F.col("html")).alias("l")).first()
+    assert [(x.href, x.text) for x in row.l] == [("/a", "one"), ("/b", "two x"), ("/c", "three")]

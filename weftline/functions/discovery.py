@@ -64,12 +64,16 @@ def score(url: Column, method: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """(text, href) of a page's links, the first of each address; anchors and scripts are left out."""
-    pattern = F.lit(r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>')
-    both = F.arrays_zip(F.regexp_extract_all(html, pattern, F.lit(1)).alias("href"), F.regexp_extract_all(html, pattern, F.lit(2)).alias("text"))
-    kept = F.filter(both, lambda p: ~F.startswith(p["href"], F.lit("#")) & ~F.startswith(p["href"], F.lit("javascript:")))
-    first = F.filter(kept, lambda p, i: F.array_position(F.transform(kept, lambda q: q["href"]), p["href"]) == i + 1)
-    return F.transform(first, lambda p: F.struct(F.trim(X.strip_tags(p["text"])).alias("text"), p["href"].alias("href")))
+    """(text, href) of a page's links, the first of each address; anchors and scripts are left out. Addresses may stand in either kind
+    of quotes or bare. The first of equal addresses is found by sorting."""
+    pattern = F.lit(r"""(?is)<a\b(?:[^>]*?[\s"'])?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>""")
+    double, single, bare, texts = (F.regexp_extract_all(html, pattern, F.lit(k)) for k in (1, 2, 3, 4))
+    both = F.arrays_zip(double.alias("a"), single.alias("b"), bare.alias("c"), texts.alias("text"))
+    named = F.transform(both, lambda p, i: F.struct(F.concat(p["a"], p["b"], p["c"]).alias("href"), i.alias("i"), p["text"].alias("text")))
+    kept = F.array_sort(F.filter(named, lambda p: ~F.startswith(p["href"], F.lit("#")) & ~F.startswith(p["href"], F.lit("javascript:"))))
+    first = F.flatten(F.transform(F.array(kept), lambda s: F.filter(s, lambda p, k: (k == 0) | (F.get(s, k - 1)["href"] != p["href"]))))
+    placed = F.array_sort(F.transform(first, lambda p: F.struct(p["i"].alias("i"), p["href"].alias("href"), p["text"].alias("text"))))
+    return F.transform(placed, lambda p: F.struct(F.trim(X.strip_tags(p["text"])).alias("text"), p["href"].alias("href")))
 
 
 def link_header(header: Column) -> Column:

@@ -125,3 +125,31 @@ def state(html: Column, name: str) -> Column:
         return pd.Series([None if v is None else compact(v) for v in found], dtype=object)
 
     return run(html)
+
+
+# Names under which single-page applications keep their state, and what they are called.
+STATE_NAMES = {
+    "__NEXT_DATA__": "Next.js", "__NUXT__": "Nuxt.js", "__INITIAL_STATE__": "Redux/Vuex",
+    "__APOLLO_STATE__": "Apollo GraphQL", "__RELAY_STORE__": "Relay", "__PRELOADED_STATE__": "Redux",
+}
+STATE_BYTES = 8192
+
+
+def _section(name: str, value: object) -> str:
+    """A state as indented JSON under its label, cut after so many bytes with a note of how many more."""
+    text = json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True)
+    raw = text.encode()
+    if len(raw) > STATE_BYTES:
+        text = f"{raw[:STATE_BYTES].decode(errors='ignore')}\n... [{len(raw) - STATE_BYTES} more bytes]"
+    return f"### {STATE_NAMES[name]} (`{name}`)\n\n```json\n{text}\n```"
+
+
+def state_sections(html: Column) -> Column:
+    """All known states of a page, in the order of their names' list; null without any."""
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        found = [[_section(n, v) for n in STATE_NAMES if (v := page_state(x, n)) is not None] for x in batch]
+        return pd.Series(["\n\n".join(x) if x else None for x in found], dtype=object)
+
+    return run(html)

@@ -41,6 +41,17 @@ def page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", J.state(F.concat(script, F.regexp_replace("html", r"(?is)<script\b.*?</script>|[{\[]", "")), "__NEXT_DATA__").alias("state"))
 
 
+@PAIRS.add("""WITH s AS (SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN '### Redux/Vuex (`__INITIAL_STATE__`)' || chr(10) || chr(10) || '```json' || chr(10) || '{' || chr(10) || '  "path": "' || url || '"' || chr(10) || '}' || chr(10) || '```' END AS a,
+ CASE WHEN page_id % 2 = 0 THEN '### Relay (`__RELAY_STORE__`)' || chr(10) || chr(10) || '```json' || chr(10) || '"' || repeat('x', 8191) || chr(10) || '... [' || (page_id % 100 + 2) || ' more bytes]' || chr(10) || '```' END AS b FROM pages)
+SELECT page_id, nullif(concat_ws(chr(10) || chr(10), a, b), '') AS sections FROM s""")
+def page_state_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states of one page, the second longer than what is shown."""
+    first = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit('<script>window.__INITIAL_STATE__ = {"path": "'), "url", F.lit('"};</script>'))).otherwise("")
+    long = F.repeat(F.lit("x"), (8191 + F.col("page_id") % 100 + 1).cast("int"))
+    second = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<script id="__RELAY_STORE__" type="application/json">"'), long, F.lit('"</script>'))).otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", J.state_sections(F.concat(second, first)).alias("sections"))
+
+
 @PAIRS.add("""SELECT page_id, action, method, enctype, fields, hidden, is_login, 'tok' || page_id AS csrf FROM (
  SELECT page_id, '/login' AS action, 'POST' AS method, 'application/x-www-form-urlencoded' AS enctype, 'csrf=tok' || page_id || '&lang=fi&note=a b&pw=&user=u2' AS fields, 'csrf=tok' || page_id AS hidden, true AS is_login FROM pages
  UNION ALL SELECT page_id, '', 'GET', 'multipart/form-data', 'q=', '', false FROM pages)""")
