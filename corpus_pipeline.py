@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near-duplicates, personal data, mixing, tokens."""
+"""The corpus pipeline: quality rules, near-duplicates, personal data, mixing, tokens.
+
+Defined results of every stage: an empty table gives no rows; nulls in any column are passed on, a null or empty text failing the first
+stage's base rules; rows repeated with id and text are one after the second stage; extra columns are passed on, whatever their names,
+up to the last stage, which returns its own.
+"""
 
 from __future__ import annotations
 
