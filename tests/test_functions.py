@@ -191,3 +191,42 @@ def test_links_in_any_quotes(spark):
     html = """<a class=x href='/a'>one</a><a href=/b>two <b>x</b></a><a data-href="/no" href = "/c">three</a><a href="/a">again</a><a href='#x'>no</a><A HREF="javascript:y">no</A><a>none</a>"""
     row = spark.createDataFrame([(html,)], "html string").select(D.links(D.F.col("html")).alias("l")).first()
     assert [(x.href, x.text) for x in row.l] == [("/a", "one"), ("/b", "two x"), ("/c", "three")]
+
+
+def test_selectors():
+    page = """<form id=f><p class="a b"><input name=x value=1></p><div><p lang=en-GB><b>t</b></p></div></form><input name=x value=2><p data-k="u v">w</p>"""
+    at = lambda s: parser.token_of(page, s)
+    assert (at("form input"), at("p > input"), at("form > input"), at("div input"), at("#f p.b.a [name=x]")) == ("1", "1", None, None, "1")
+    assert (at("em, div b"), at("p[lang|=en]"), at("[data-k~=v]"), at("[data-k~='u v']"), at("form > * > b"), at("div > p > b")) == ("t", "t", "w", None, None, "t")
+    assert at('[name="x"]') == "1" and at("[name^='']") is None
+    for bad in ("", "p >", "p::before", "a + b", "p,"):
+        with pytest.raises(ValueError, match="not understood"):
+            at(bad)
+
+
+def test_own_routes(spark):
+    wiki = routing.Provider("own", lambda u: F.contains(u, F.lit("own.example/")), lambda u, b: F.nullif(F.regexp_extract(b, "<h1>(.*?)</h1>", 1), F.lit("")))
+    rows = spark.createDataFrame([("https://own.example/1", "<h1>a</h1>"), ("https://own.example/2", "none"), ("https://x.com/u/status/1", "<h1>b</h1>"), (None, None)], "u string, b string")
+    got = rows.select(routing.site(F.col("u"), [wiki]).alias("s"), routing.extracted(F.col("u"), F.col("b"), [wiki], F.lit("else")).alias("e"), routing.handler(F.col("b"), F.lit("application/epub+zip"), {"epub": ["application/epub+zip"]}).alias("h"))
+    assert [tuple(r) for r in got.collect()] == [("own", "a", "epub"), ("own", "else", "epub"), ("twitter", "else", "epub"), (None, "else", "epub")]
+
+
+def test_stop_rules(spark, tmp_path):
+    polls = [("k", s, p, 10.0 * p, p != 2) for p, window in enumerate([[1, 2], [2, 3], [4], [5, 6]]) for s in window]
+    polls += [("m", s, p, 10.0 * p, True) for p in range(5) for s in (p, p + 1)]
+    schema = "key string, sequence long, poll long, at double, live boolean"
+    df = spark.createDataFrame(polls, schema)
+    kept = manifests.until_stopped(df, "key", "poll", "at", "live", 35.0)
+    assert sorted({(r.key, r.poll) for r in kept.collect()}) == [("k", 0), ("k", 1), ("k", 2), ("m", 0), ("m", 1), ("m", 2), ("m", 3)]
+    for i in range(5):
+        df.filter(F.col("poll") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(live.follow(stream, "key", at="at", seconds=35.0, is_live="live"), "stopped", spark)
+    assert sorted((r.key, r.sequence) for r in got) == [("k", 1), ("k", 2), ("k", 3), ("k", 4), ("m", 1), ("m", 2), ("m", 3), ("m", 4)]
+
+
+def test_rendered_errors(spark):
+    none = F.lit(None).cast("string")
+    assert one(spark, responses.full_text(F.lit(200), F.lit(12.4), F.lit("u"), none, F.lit("abc"), True, 2)) == "\n\U0001f310 u [200 12ms]\nab"
+    assert one(spark, responses.full_text(F.lit(200), F.lit(12.4), F.lit("u"), none, none, True, 0)) == "\n\U0001f310 u [200 12ms]"
+    assert one(spark, responses.quoted(F.lit('a "b"\n[c]'))) == '"a \\"b\\"\\n[c]"'

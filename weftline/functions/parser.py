@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 HIDDEN = {"script", "style", "head", "template", "noscript"}
 BLOCKS = {"p", "div", "section", "article", "header", "footer", "nav", "main", "aside", "ul", "ol", "table", "tr", "blockquote", "form", "pre", "br", "hr", "li", "h1", "h2", "h3", "h4", "h5", "h6"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
 
 
@@ -76,7 +77,7 @@ class _Elements(HTMLParser):
             found.setdefault(k, v or "")
         item = {"tag": tag, "attrs": found, "text": [], "within": list(self.open)}
         self.items.append(item)
-        if tag not in ("input", "br", "hr", "meta", "link", "img"):
+        if tag not in VOID:
             self.open.append(item)
 
     def handle_endtag(self, tag: str) -> None:
@@ -123,24 +124,73 @@ def forms_of(html: str | None) -> list[dict]:
     return out
 
 
-SELECTOR = re.compile(r"""(?P<tag>[\w-]+)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[\^$*]?=)["']?(?P<val>[^"'\]]*)["']?)?\]""")
+SELECTOR = re.compile(r"""(?P<any>\*)|(?P<tag>[\w-]+)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[\^$*~|]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]"'\s]*))\s*)?\]""")
+COMBINATOR = re.compile(r"\s*([>,])\s*|\s+")
+
+
+def selector_of(text: str) -> list[list[tuple[str, list[dict]]]]:
+    """A selector as alternatives, each a list of (how it stands to the one before, simple parts)."""
+    alternatives: list[list[tuple[str, list[dict]]]] = [[]]
+    at, how, parts = 0, "", []
+    text = text.strip()
+    while at < len(text):
+        if m := SELECTOR.match(text, at):
+            if (m["tag"] or m["any"]) and parts:
+                raise ValueError(f"selector not understood: {text}")
+            parts.append(m.groupdict() | {"val": m["dq"] if m["dq"] is not None else m["sq"] if m["sq"] is not None else m["bare"] or ""})
+        elif m := COMBINATOR.match(text, at):
+            if not parts:
+                raise ValueError(f"selector not understood: {text}")
+            alternatives[-1].append((how, parts))
+            parts, how = [], m[1] or " "
+            if how == ",":
+                alternatives.append([])
+                how = ""
+        else:
+            raise ValueError(f"selector not understood: {text}")
+        at = m.end()
+    if not parts:
+        raise ValueError(f"selector not understood: {text}")
+    alternatives[-1].append((how, parts))
+    return alternatives
+
+
+def _simple(x: dict, parts: list[dict]) -> bool:
+    a = x["attrs"]
+    for p in parts:
+        v, w = a.get(p["attr"] or ""), p["val"]
+        if p["any"]:
+            continue
+        if p["tag"]:
+            ok = x["tag"] == p["tag"].lower()
+        elif p["id"]:
+            ok = a.get("id") == p["id"]
+        elif p["cls"]:
+            ok = p["cls"] in a.get("class", "").split()
+        else:
+            ok = v is not None and (not p["op"] or {"=": v == w, "^=": bool(w) and v.startswith(w), "$=": bool(w) and v.endswith(w), "*=": bool(w) and w in v, "~=": bool(w) and w in v.split(), "|=": v == w or v.startswith(w + "-")}[p["op"]])
+        if not ok:
+            return False
+    return True
+
+
+def _stands(x: dict, steps: list[tuple[str, list[dict]]]) -> bool:
+    """Whether an element fits the last of the steps and those it stands in fit the others."""
+    how, parts = steps[-1]
+    if not _simple(x, parts):
+        return False
+    if len(steps) == 1:
+        return True
+    outer = x["within"][-1:] if how == ">" else x["within"]
+    return any(_stands(y, steps[:-1]) for y in outer)
 
 
 def token_of(html: str | None, selector: str) -> str | None:
-    """The value, else the text, of the first element that fits one simple selector (tag, #id, .class, [attr], [attr=value])."""
-    parts = [m.groupdict() for m in SELECTOR.finditer(selector)]
-
-    def fits(x: dict) -> bool:
-        a = x["attrs"]
-        for p in parts:
-            v = a.get(p["attr"] or "")
-            ok = x["tag"] == p["tag"] if p["tag"] else a.get("id") == p["id"] if p["id"] else p["cls"] in a.get("class", "").split() if p["cls"] else v is not None and (not p["op"] or {"=": v == p["val"], "^=": v.startswith(p["val"]), "$=": v.endswith(p["val"]), "*=": p["val"] in v}[p["op"]])
-            if not ok:
-                return False
-        return True
-
+    """The value, else the text, of the first element that fits a selector: tags, *, #id, .class, [attr], [attr=value] and its
+    variants, inside others (space) or right inside them (>), alternatives with commas. Another selector is an error."""
+    alternatives = selector_of(selector)
     for x in _elements(html):
-        if fits(x):
+        if any(_stands(x, steps) for steps in alternatives):
             return x["attrs"]["value"] if "value" in x["attrs"] else "".join(x["text"]).strip() or None
     return None
 

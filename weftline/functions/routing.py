@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,10 +26,10 @@ def mime(content_type: Column) -> Column:
     return F.lower(F.trim(F.split_part(content_type, F.lit(";"), F.lit(1))))
 
 
-def handler(body: Column, content_type: Column) -> Column:
-    """By mime type, else by how the body starts, else plain."""
+def handler(body: Column, content_type: Column, also: dict[str, list[str]] | None = None) -> Column:
+    """By mime type, else by how the body starts, else plain. also: further handlers' types, asked first."""
     m, out = mime(content_type), None
-    for name, types in HANDLERS.items():
+    for name, types in [*(also or {}).items(), *HANDLERS.items()]:
         out = F.when(m.isin(*types), name) if out is None else out.when(m.isin(*types), name)
     starts = F.lit(False)
     for s in HTML_STARTS:
@@ -47,10 +49,27 @@ def sites(url: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def site(url: Column) -> Column:
-    """The first site that fits; null if none does."""
+@dataclass(frozen=True)
+class Provider:
+    """A site of one's own: its name, which urls are its, and what it makes of a body."""
+
+    name: str
+    matches: Callable[[Column], Column]
+    extract: Callable[[Column, Column], Column]
+
+
+def extracted(url: Column, body: Column, providers: Sequence[Provider], otherwise: Column) -> Column:
+    """What the first provider that matches makes of a body; what else is given where none matches or it makes nothing."""
+    out = None
+    for p in providers:
+        out = F.when(p.matches(url), p.extract(url, body)) if out is None else out.when(p.matches(url), p.extract(url, body))
+    return otherwise if out is None else F.coalesce(out, otherwise)
+
+
+def site(url: Column, also: Sequence[Provider] = ()) -> Column:
+    """The first site that fits, one's own after the others; null if none does."""
     out = None
-    for name, fits in sites(url):
+    for name, fits in [*sites(url), *((p.name, p.matches(url)) for p in also)]:
         out = F.when(fits, name) if out is None else out.when(fits, name)
     return out
 

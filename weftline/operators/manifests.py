@@ -83,3 +83,11 @@ def newly_seen(polls: DataFrame, key: str, order: list[str], sequence: str = "se
     """Rows whose sequence is above all before it, counted from 0: late, repeated and zero sequences are dropped."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return polls.withColumn("_top", F.coalesce(F.max(sequence).over(w), F.lit(0))).filter(F.col(sequence) > F.greatest(F.lit(0), F.col("_top"))).drop("_top")
+
+
+def until_stopped(polls: DataFrame, key: str, poll: str, at: str, is_live: str, seconds: float | None = None) -> DataFrame:
+    """Rows of the polls that are made before a followed playlist stops: the first that ends it is the last, and none begins at or
+    after ``seconds`` since the start (column at). All rows of a poll share its time and state; equal polls stand or fall together."""
+    before = Window.partitionBy(key).orderBy(poll).rangeBetween(Window.unboundedPreceding, -1)
+    kept = polls.withColumn("_ended", F.coalesce(F.max(~F.col(is_live)).over(before), F.lit(False))).filter("not _ended").drop("_ended")
+    return kept if seconds is None else kept.filter(F.col(at) < seconds)

@@ -44,9 +44,35 @@ def shown(body: Column, most: int) -> Column:
     return F.when(more > 0, F.concat(F.lit("\n"), kept, F.lit("\n\n... ["), more.cast("string"), F.lit(" more bytes]"))).otherwise(F.concat(F.lit("\n"), body))
 
 
+def quoted(text: Column) -> Column:
+    """A text as JSON writes it."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
 def compact_line(status: Column, size: Column, ms: Column, url: Column, error: Column) -> Column:
     whole = F.replace(F.format_number(ms, 0), F.lit(","), F.lit(""))
-    return F.when(error.isNotNull(), F.concat(F.lit("ERR "), url, F.lit(" "), error)).otherwise(F.concat(status.cast("string"), F.lit(" "), size.cast("string"), F.lit("B "), whole, F.lit("ms "), url))
+    return F.when(error.isNotNull(), F.concat(F.lit("ERR "), url, F.lit(" "), quoted(error))).otherwise(F.concat(status.cast("string"), F.lit(" "), size.cast("string"), F.lit("B "), whole, F.lit("ms "), url))
+
+
+def full_text(status: Column, ms: Column, url: Column, error: Column, markdown: Column, with_body: bool, most: int) -> Column:
+    """A result as a batch shows it in full: a heading, and below it the body cut to so many characters (0: no limit)."""
+    whole = F.replace(F.format_number(ms, 0), F.lit(","), F.lit(""))
+    head = F.concat(F.lit("\n\U0001f310 "), url, F.lit(" ["), status.cast("string"), F.lit(" "), whole, F.lit("ms]"))
+    body = F.concat(F.lit("\n"), F.substring(markdown, 1, most) if most else markdown)
+    shown_body = F.coalesce(body, F.lit("")) if with_body else F.lit("")
+    return F.when(error.isNotNull(), F.concat(F.lit("\n\u274c "), url, F.lit(" - "), quoted(error))).otherwise(F.concat(head, shown_body))
+
+
+def as_array(results: DataFrame, key: str, size: int, by: str, value: str = "json") -> DataFrame:
+    """JSON values as arrays of at most ``size`` values, in the order of ``by``, one array for each run of keys; a whole batch as one
+    array would be one row, so it is one only where the size covers it."""
+    part = F.floor(F.col(key) / size).alias("part")
+    rows = results.groupBy(part).agg(F.array_sort(F.collect_list(F.struct(by, value))).alias("r"))
+    return rows.select("part", F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x[value]), ","), F.lit("]")).alias("json"))
+
+
+def error_json(url: Column, error: Column) -> Column:
+    return F.to_json(F.struct(error.alias("error"), url.alias("url")))
 
 
 def as_json(url: Column, status: Column, content_type: Column, markdown: Column, title: Column, ms: Column) -> Column:

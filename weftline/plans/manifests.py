@@ -73,3 +73,16 @@ def live_new_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of following a live playlist; the streaming form keeps the same state."""
     polls = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") * 7919 % 211).alias("sequence"))
     return M.newly_seen(polls, "user_id", ["event_id"])
+
+
+@PAIRS.add("""
+WITH p AS (SELECT user_id, event_id AS poll, event_id // 3 AS made, event_id % 17 <> 0 AS is_live FROM events), e AS (SELECT user_id, min(poll) FILTER (WHERE NOT is_live) AS last FROM p GROUP BY 1)
+SELECT p.user_id, poll FROM p JOIN e USING (user_id) WHERE (last IS NULL OR poll <= last) AND made < (SELECT max(event_id) // 4 FROM events)
+""")
+def live_until_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polls up to the one that ends a live playlist, within a time limit of three quarters of the table."""
+    e = table(spark, sf_dir, "events")
+    most = e.agg((F.max("event_id") / 4).cast("long").alias("most"))
+    polls = e.select("user_id", F.col("event_id").alias("poll"), F.floor(F.col("event_id") / 3).alias("at"), (F.col("event_id") % 17 != 0).alias("is_live"))
+    kept = M.until_stopped(polls, "user_id", "poll", "at", "is_live")
+    return kept.crossJoin(F.broadcast(most)).filter("at < most").select("user_id", "poll")  # one row

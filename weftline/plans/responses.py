@@ -20,7 +20,7 @@ def batch_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.urls_of(table(spark, sf_dir, "pages").select("page_id", line.alias("line")), "line").select("page_id", "url")
 
 
-@PAIRS.add("""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'ERR ' || url || ' timed out' ELSE '200 ' || strlen(html) || 'B ' || printf('%.0f', page_id * 1.3) || 'ms ' || url END AS line,
+@PAIRS.add("""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'ERR ' || url || ' "timed out"' ELSE '200 ' || strlen(html) || 'B ' || printf('%.0f', page_id * 1.3) || 'ms ' || url END AS line,
  chr(10) || html[1:300] || CASE WHEN strlen(html) > strlen(html[1:300]) THEN chr(10) || chr(10) || '... [' || (strlen(html) - strlen(html[1:300])) || ' more bytes]' ELSE '' END AS shown, count(*) FILTER (WHERE page_id % 7 <> 0) OVER () AS n_ok FROM pages""")
 def batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
@@ -64,3 +64,19 @@ def merged_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = R.documents_of(p.withColumn("url", F.concat_ws("|", "page_id", "fields", "cookie")))
     keys = F.split(F.col("metadata.source"), r"\|")
     return docs.select(F.get(keys, F.lit(0)).cast("long").alias("page_id"), F.get(keys, F.lit(1)).alias("fields"), "page_content", F.col("metadata.status").alias("status"), F.get(keys, F.lit(2)).alias("cookie"))
+
+
+@PAIRS.add("""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN chr(10) || '❌ ' || url || ' - "timed out"' ELSE chr(10) || '🌐 ' || url || ' [200 ' || printf('%.0f', page_id * 1.3) || 'ms]' || chr(10) || html[1:300] END AS full_text FROM pages""")
+def batch_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every result with its heading and its body up to 300 characters."""
+    error = F.when(F.col("page_id") % 7 == 0, "timed out")
+    return table(spark, sf_dir, "pages").select("page_id", R.full_text(F.lit(200), F.col("page_id") * 1.3, F.col("url"), error, F.col("html"), True, 300).alias("full_text"))
+
+
+@PAIRS.add("""WITH r AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '{"error":"timed out","url":"' || url || '"}' ELSE '{"url":"' || url || '","status":200,"elapsed_ms":1.5}' END AS j FROM pages)
+SELECT page_id // 100 AS part, '[' || string_agg(j, ',' ORDER BY page_id) || ']' AS json FROM r GROUP BY 1""")
+def batch_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results and errors as JSON arrays, a hundred page numbers to each."""
+    ok = F.to_json(F.struct("url", F.lit(200).alias("status"), F.lit(1.5).alias("elapsed_ms")))
+    j = F.when(F.col("page_id") % 7 == 0, R.error_json(F.col("url"), F.lit("timed out"))).otherwise(ok)
+    return R.as_array(table(spark, sf_dir, "pages").select("page_id", j.alias("json")), "page_id", 100, "page_id")

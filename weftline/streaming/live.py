@@ -9,22 +9,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def follow(polls: DataFrame, key: str, sequence: str = "sequence", order: str = "poll") -> DataFrame:
+def follow(polls: DataFrame, key: str, sequence: str = "sequence", order: str = "poll", at: str | None = None, seconds: float | None = None, is_live: str | None = None) -> DataFrame:
     """Of a stream of polled segments those whose sequence is above all seen before for their key; zero is never new.
 
-    State is one number for each key, so a playlist may be followed for any time; batches may hold any part of a poll.
+    State is one number for each key and whether it has stopped, so a playlist may be followed for any time; batches may hold any part of a poll.
+    Stop rules as in `until_stopped`: with is_live, the first poll that ends a playlist is its last (a poll in several batches ends with the
+    batch that says so); with seconds, rows at that time (column at) and later are left out.
     """
-    schema = polls.select(key, sequence, order).schema
+    polls = polls if seconds is None else polls.filter(F.col(at) < seconds)
+    columns = [key, sequence, order]
+    schema = polls.select(*columns).schema
 
     def newer(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        top = state.get[0] if state.exists else 0
+        top, stopped = state.get if state.exists else (0, None)
         rows = pd.concat(list(batches)).sort_values([order, sequence], kind="stable")
+        if is_live:
+            ends = rows.loc[~rows["_live"].astype(bool), order]
+            stopped = stopped if len(ends) == 0 else int(ends.min()) if stopped is None else min(stopped, int(ends.min()))
+            rows = rows if stopped is None else rows[rows[order] <= stopped]
+            if rows.empty:
+                state.update((top, stopped))
+                return
         before = rows[sequence].cummax().shift(1).fillna(top).clip(lower=max(top, 0))
         fresh = rows[rows[sequence] > before]
-        state.update((max(top, int(rows[sequence].max())),))
-        yield fresh[[key, sequence, order]]
+        state.update((max(top, int(rows[sequence].max())), stopped))
+        yield fresh[columns]
 
-    return polls.select(key, sequence, order).groupBy(key).applyInPandasWithState(newer, schema, "top long", "append", "NoTimeout")
+    live = [F.col(is_live).alias("_live")] if is_live else []
+    return polls.select(*columns, *live).groupBy(key).applyInPandasWithState(newer, schema, "top long, stopped long", "append", "NoTimeout")
 
 
 def answered(requests: DataFrame, replies: DataFrame, timeout: str = "60 seconds", late: str = "2 minutes") -> DataFrame:
