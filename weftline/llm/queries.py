@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, langid, licenses, mixing, passages, pii, quality, simhash, urls
+from . import bpe, divergence, embeddings, langid, licenses, mixing, passages, pii, quality, resampling, simhash, toxicity, urls
 from ._shared import table
 
 
@@ -55,6 +55,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
     "op2_pii_boosting": op2_pii_boosting,
@@ -66,7 +79,41 @@ QUERIES = {
     "op8_language_fusion": op8_language_fusion,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_license_scan": op10_license_scan,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_divergence_audit": op12_divergence_audit,
+    "op13_toxicity_boosting": op13_toxicity_boosting,
 }
 
-#: DuckDB SQL where it can express the whole result.
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL where it can express the whole result. The CRC-32 of a word goes over the bytes of its hexadecimal form.
+OP11_SQL = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+texts AS (SELECT 0 AS k, row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, coalesce(text, '') FROM benchmark),
+w AS (SELECT k, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+h AS (SELECT w, hex(w) AS x FROM (SELECT DISTINCT w FROM w)),
+c AS (SELECT w, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b FROM h, tab),
+n AS (SELECT b, count(*) FILTER (WHERE k = 0) AS s, count(*) FILTER (WHERE k = 1) AS t FROM w JOIN c USING (w) GROUP BY b),
+z AS (SELECT sum(s) AS s, sum(t) AS t FROM n),
+g AS (SELECT b, CAST(floor(1000 * ln(CAST(n.t + 1 AS DOUBLE) * CAST(z.s + 10000 AS DOUBLE) / (CAST(n.s + 1 AS DOUBLE) * CAST(z.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM n, z),
+d AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM w JOIN c USING (w) JOIN g USING (b) WHERE k = 0 GROUP BY r),
+e AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM texts LEFT JOIN d USING (r) WHERE k = 0),
+f AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS able FROM f)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM o
+"""
+OP12_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM docs),
+kept AS (SELECT lang, w FROM w GROUP BY lang, w HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM docs),
+n AS (SELECT lang, source, w, count(*) AS n FROM w JOIN kept USING (lang, w) GROUP BY ALL),
+cell AS (SELECT lang, source, w, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN n USING (lang, source, w)),
+gp AS (SELECT lang, source, w, n, 1 + (1000000000 * (n::HUGEINT + 5)) // (sum(n) OVER (PARTITION BY lang, source)::HUGEINT + 5 * v) AS p FROM cell JOIN v USING (lang)),
+lq AS (SELECT lang, w, 1 + (1000000000 * (sum(n)::HUGEINT + 5)) // (sum(sum(n)) OVER (PARTITION BY lang)::HUGEINT + 5 * any_value(v)) AS q FROM cell JOIN v USING (lang) GROUP BY lang, w),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM gp a JOIN gp b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value, 'pair' AS part FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT lang, source, w AS item, p - q AS value, 'term' AS part FROM gp JOIN lq USING (lang, w) WHERE n > 0 AND p > q),
+every AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM every WHERE part = 'pair' OR rank <= 50
+"""
+ORACLES: dict[str, str] = {"op11_importance_resampling": OP11_SQL, "op12_divergence_audit": OP12_SQL}
