@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import markup as M
 from . import text as X
 
 # Name, pattern, the group of the url and of the method.
@@ -27,8 +29,6 @@ ENDPOINTS = [
 # Words that make a url likelier to give data.
 DATA_WORDS = ["data", "list", "get", "fetch", "load", "users", "items"]
 
-SCRIPT = r"(?is)<script(?:\s+(?:[^>s]|s(?!rc\s*=))*)?>(.*?)</script>"
-
 
 def endpoints(js: Column) -> Column:
     """Distinct (url, method, source) of a script; urls with placeholders or under four bytes are left out."""
@@ -52,7 +52,13 @@ def _without_method(urls: Column, name: str) -> Column:
 
 
 def inline_scripts(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(1))
+    """The texts of scripts without an address of their own."""
+
+    @F.arrow_udf("array<string>")
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array([[text for attrs, text in M.scripts(x) if "src" not in attrs] for x in batch.to_pylist()], pa.list_(pa.string()))
+
+    return run(html)
 
 
 def score(url: Column, method: Column) -> Column:
@@ -64,16 +70,22 @@ def score(url: Column, method: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """(text, href) of a page's links, the first of each address; anchors and scripts are left out. Addresses may stand in either kind
-    of quotes or bare. The first of equal addresses is found by sorting."""
-    pattern = F.lit(r"""(?is)<a\b(?:[^>]*?[\s"'])?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>""")
-    double, single, bare, texts = (F.regexp_extract_all(html, pattern, F.lit(k)) for k in (1, 2, 3, 4))
-    both = F.arrays_zip(double.alias("a"), single.alias("b"), bare.alias("c"), texts.alias("text"))
-    named = F.transform(both, lambda p, i: F.struct(F.concat(p["a"], p["b"], p["c"]).alias("href"), i.alias("i"), p["text"].alias("text")))
-    kept = F.array_sort(F.filter(named, lambda p: ~F.startswith(p["href"], F.lit("#")) & ~F.startswith(p["href"], F.lit("javascript:"))))
-    first = F.flatten(F.transform(F.array(kept), lambda s: F.filter(s, lambda p, k: (k == 0) | (F.get(s, k - 1)["href"] != p["href"]))))
-    placed = F.array_sort(F.transform(first, lambda p: F.struct(p["i"].alias("i"), p["href"].alias("href"), p["text"].alias("text"))))
-    return F.transform(placed, lambda p: F.struct(F.trim(X.strip_tags(p["text"])).alias("text"), p["href"].alias("href")))
+    """(text, href) of a page's links, the first of each address; anchors and scripts are left out. A link that is not closed ends
+    at the next one, or with the page."""
+
+    @F.arrow_udf("array<struct<text:string,href:string>>")
+    def run(batch: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("text", pa.string()), ("href", pa.string())]))
+        return pa.array([list(first(x).values()) for x in batch.to_pylist()], kind)
+
+    def first(page: str | None) -> dict:
+        found: dict[str, dict] = {}
+        for text, href in M.links(page):
+            if not href.startswith(("#", "javascript:")):
+                found.setdefault(href, {"text": text, "href": href})
+        return found
+
+    return F.transform(run(html), lambda p: F.struct(F.trim(X.strip_tags(p["text"])).alias("text"), p["href"].alias("href")))
 
 
 def link_header(header: Column) -> Column:
@@ -95,8 +107,12 @@ def _attr(tag: Column, name: str) -> Column:
 
 def link_hints(html: Column) -> Column:
     """(url, rel, as_type, crossorigin) of link tags that connect or load ahead."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<link[^>]*>"), F.lit(0))
-    every = F.transform(tags, lambda t: F.struct(_attr(t, "href").alias("url"), _attr(t, "rel").alias("rel"), _attr(t, "as").alias("as_type"), _attr(t, "crossorigin").alias("crossorigin")))
+
+    @F.arrow_udf("array<string>")
+    def tags(batch: pa.Array) -> pa.Array:
+        return pa.array([[x[t.start : t.end] for t in M.scan(x or "") if t.kind == "open" and t.name == "link"] for x in batch.to_pylist()], pa.list_(pa.string()))
+
+    every = F.transform(tags(html), lambda t: F.struct(_attr(t, "href").alias("url"), _attr(t, "rel").alias("rel"), _attr(t, "as").alias("as_type"), _attr(t, "crossorigin").alias("crossorigin")))
     return F.filter(every, lambda h: h["url"].isNotNull() & h["rel"].rlike("preconnect|dns-prefetch|preload|prefetch"))
 
 

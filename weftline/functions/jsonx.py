@@ -1,6 +1,8 @@
 """JSON inside text: finding, cutting and summarising values that have no fixed schema.
 
-Recursion over unknown depth is no column expression, so these are Arrow-batched functions; paths stay native.
+Recursion over unknown depth is no column expression, so these are Arrow-batched functions; paths stay native. A text that is
+nested deeper than ``DEEPEST`` is no JSON here: it has no value, no outline and no state. Depth is found by one pass over brackets
+outside of strings before anything is parsed, so that no text, however deep, exhausts a stack.
 """
 
 from __future__ import annotations
@@ -8,10 +10,40 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import markup as M
+
+#: Levels of arrays and objects. Fixed value: what common parsers of such records take.
+DEEPEST = 127
+_BRACKETS = re.compile(r'"(?:[^"\\]++|\\.)*+(?:"|\Z)|[\[{]|[\]}]', re.S)
+
+
+def value_end(text: str, begin: int, one: bool = True) -> int:
+    """Behind the value whose bracket is at ``begin`` (not only ``one``: behind the last value from there on); -1 if it is not closed or too deep."""
+    depth, end = 0, begin
+    for m in _BRACKETS.finditer(text, begin):
+        c = text[m.start()]
+        if c in "[{":
+            depth += 1
+            if depth > DEEPEST:
+                return -1
+        elif c in "]}":
+            depth -= 1
+            end = m.end()
+            if depth == 0 and one:
+                return end
+    return -1 if depth > 0 else end
+
+
+def parsed(text: str) -> object:
+    """The value of a whole text; ValueError if it is no JSON or too deep."""
+    if text.count("[") + text.count("{") > DEEPEST and value_end(text, 0, one=False) < 0:
+        raise ValueError("not closed, or too deep")
+    return json.loads(text)
+
 
 def compact(value: object) -> str:
     """Minified, keys sorted."""
@@ -27,34 +59,35 @@ def at_path(text: Column, path: str) -> Column:
 
 
 def first_value(text: str | None, begin: int = 0) -> object | None:
-    """The object or array that starts at the next bracket; None if there is none or it does not parse."""
+    """The object or array that starts at the next bracket; None if there is none, it does not parse, or it is too deep."""
     m = re.compile(r"[{\[]").search(text or "", begin)
     if not m:
         return None
+    end = value_end(text, m.start())
     try:
-        return json.JSONDecoder().raw_decode(text, m.start())[0]
+        return json.loads(text[m.start() : end]) if end > 0 else None
     except ValueError:
         return None
 
 
-def page_state(html: str | None, name: str) -> object | None:
-    """What a page's script holds under a name: a script element of that id, else what is assigned on window, else on self.
+def page_state(html: str | None, name: str, scripts: list | None = None) -> object | None:
+    """What a page's script holds under a name: the first script element of that id, else what is assigned on window, else on self.
 
-    An assignment on window without an equals sign or a bracket after it ends the search.
+    An assignment on window without an equals sign or a bracket after it ends the search. scripts: the page's, if they are known.
     """
     html = html or ""
-    m = re.search(rf"""(?is)<script\b[^>]*\bid\s*=\s*["']?{re.escape(name)}["'\s>][^>]*>?(.*?)</script>""", html)
-    if m:
-        try:
-            return json.loads(m[1])
-        except ValueError:
-            pass
+    for attrs, text in M.scripts(html) if scripts is None else scripts:
+        if attrs.get("id") == name:
+            try:
+                return parsed(text)
+            except ValueError:
+                break
     for holder in ("window", "self"):
         at = html.find(f"{holder}.{name}")
         if at < 0:
             continue
         eq = html.find("=", at)
-        if eq < 0 or not re.search(r"[{\[]", html[eq:]):
+        if eq < 0 or not re.compile(r"[{\[]").search(html, eq):
             return None
         value = first_value(html, eq)
         if value is not None:
@@ -95,34 +128,34 @@ def outline(value: object, levels: int = 3, level: int = 0) -> list[str]:
 
 def _loaded(text: str | None) -> tuple[bool, object]:
     try:
-        return True, json.loads(text)
-    except (TypeError, ValueError):
+        return True, parsed(text)
+    except (AttributeError, TypeError, ValueError):
         return False, None
 
 
 def pruned(text: Column, most: int, depth: int) -> Column:
     """Null where the text is no JSON."""
 
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([compact(cut(v, most, depth)) if ok else None for ok, v in map(_loaded, batch)], dtype=object)
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array([compact(cut(v, most, depth)) if ok else None for ok, v in map(_loaded, batch.to_pylist())], pa.string())
 
     return run(text)
 
 
 def outlined(text: Column, levels: int = 3) -> Column:
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(outline(v, levels)) if ok else None for ok, v in map(_loaded, batch)], dtype=object)
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array(["\n".join(outline(v, levels)) if ok else None for ok, v in map(_loaded, batch.to_pylist())], pa.string())
 
     return run(text)
 
 
 def state(html: Column, name: str) -> Column:
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        found = [page_state(x, name) for x in batch]
-        return pd.Series([None if v is None else compact(v) for v in found], dtype=object)
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        found = [page_state(x, name) for x in batch.to_pylist()]
+        return pa.array([None if v is None else compact(v) for v in found], pa.string())
 
     return run(html)
 
@@ -147,9 +180,10 @@ def _section(name: str, value: object) -> str:
 def state_sections(html: Column) -> Column:
     """All known states of a page, in the order of their names' list; null without any."""
 
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        found = [[_section(n, v) for n in STATE_NAMES if (v := page_state(x, n)) is not None] for x in batch]
-        return pd.Series(["\n\n".join(x) if x else None for x in found], dtype=object)
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        pages = [(x, M.scripts(x)) for x in batch.to_pylist()]
+        found = [[_section(n, v) for n in STATE_NAMES if (v := page_state(x, n, scripts)) is not None] for x, scripts in pages]
+        return pa.array(["\n\n".join(x) if x else None for x in found], pa.string())
 
     return run(html)

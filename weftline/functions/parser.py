@@ -1,125 +1,112 @@
-"""What needs a real HTML parser: markdown with structure, forms, and tokens by selector. Arrow-batched functions."""
+"""What needs an HTML tree: markdown with structure, forms, and tokens by selector. Arrow-batched functions, linear in a page's length."""
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HIDDEN = {"script", "style", "head", "template", "noscript"}
+from . import html as H
+from .markup import Element, Tree, tree
+
+HIDDEN = {"script", "style", "head", "title", "template", "noscript"}
 BLOCKS = {"p", "div", "section", "article", "header", "footer", "nav", "main", "aside", "ul", "ol", "table", "tr", "blockquote", "form", "pre", "br", "hr", "li", "h1", "h2", "h3", "h4", "h5", "h6"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+PREFIXES = {"li": "- ", **{f"h{k}": "#" * k + " " for k in range(1, 7)}}
+
 
+class _Writer:
+    """Markdown in pieces. A mark closes right behind what it marks, and goes if that is nothing."""
 
-class _Markdown(HTMLParser):
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.hidden = 0
-        self.links: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in HIDDEN:
-            self.hidden += 1
-        elif not self.hidden:
-            if tag in BLOCKS:
-                self.out.append("\n" + ("#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else "- " if tag == "li" else ""))
-            elif tag == "a":
-                self.links.append(dict(attrs).get("href") or "")
-                self.out.append("[")
-            elif tag in MARKS:
-                self.out.append(MARKS[tag])
-            elif tag in ("td", "th"):
-                self.out.append(" ")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif not self.hidden:
-            if tag == "a" and self.links:
-                self.out.append(f"]({self.links.pop()})")
-            elif tag in MARKS:
-                self.out.append(MARKS[tag])
-            elif tag in BLOCKS:
-                self.out.append("\n")
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.out.append(re.sub(r"\s+", " ", data))
+        self.blank: list[str] = []  # what is blank behind the pieces
+        self.open: list[int] = []  # places of marks
+        self.fresh = False  # right behind a prefix
+
+    def put(self, text: str) -> None:
+        self.out += self.blank
+        self.blank.clear()
+        self.out.append(text)
+
+    def block(self, prefix: str) -> None:
+        if prefix:
+            self.put("\n" + prefix)
+        elif not self.fresh:
+            self.blank.append("\n")
+        self.fresh = bool(prefix) or self.fresh
+
+    def text(self, text: str) -> None:
+        body = text.rstrip()
+        if body:
+            self.put(body)
+        if len(body) < len(text):
+            self.blank.append(text[len(body) :])
+        self.fresh = self.fresh and not body
+
+    def mark(self, mark: str) -> None:
+        self.put(mark)
+        self.open.append(len(self.out) - 1)
+
+    def unmark(self, mark: str) -> None:
+        if self.open.pop() == len(self.out) - 1:
+            self.out.pop()
+        else:
+            self.out.append(mark)
 
 
 def markdown_of(html: str | None) -> str | None:
-    """Headings, lists, links and emphasis; an unclosed link has no address; empty lines go."""
+    """Headings, lists, links and emphasis; what is not closed ends where its block, or the page, ends; empty lines go."""
     if html is None:
         return None
-    p = _Markdown()
-    p.feed(html)
-    p.close()
-    lines = (line.strip() for line in "".join(p.out).split("\n"))
+    t, w, hidden = tree(html), _Writer(), 0
+    for step, i in t.steps:
+        if step == "text":
+            if not hidden:
+                w.text(re.sub(r"\s+", " ", t.pieces[i]))
+            continue
+        tag = t.elements[i].tag
+        if tag in HIDDEN:
+            hidden += 1 if step == "open" else -1
+        elif hidden:
+            continue
+        elif tag in BLOCKS:
+            w.block(PREFIXES.get(tag, "") if step == "open" else "")
+        elif tag == "a":
+            w.text("[" if step == "open" else f"]({t.elements[i].attrs.get('href', '')})")
+        elif tag in MARKS:
+            (w.mark if step == "open" else w.unmark)(MARKS[tag])
+        elif tag in ("td", "th") and step == "open":
+            w.text(" ")
+    lines = (line.strip() for line in "".join(w.out).split("\n"))
     return "\n".join(line for line in lines if line and not re.fullmatch(r"[-#*` ]+", line))
 
 
-class _Elements(HTMLParser):
-    """Elements in order, with their attributes, own text, and the form they stand in."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.items: list[dict] = []
-        self.open: list[dict] = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        found: dict[str, str] = {}
-        for k, v in attrs:
-            found.setdefault(k, v or "")
-        item = {"tag": tag, "attrs": found, "text": [], "within": list(self.open)}
-        self.items.append(item)
-        if tag not in VOID:
-            self.open.append(item)
-
-    def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i]["tag"] == tag:
-                del self.open[i:]
-                return
-
-    def handle_data(self, data: str) -> None:
-        for item in self.open:
-            item["text"].append(data)
-
-
-def _elements(html: str | None) -> list[dict]:
-    p = _Elements()
-    p.feed(html or "")
-    p.close()
-    return p.items
-
-
 def forms_of(html: str | None) -> list[dict]:
     """Each form's action, method, encoding, fields, hidden fields, and whether it asks for a password. Of a repeated field the last counts; selects and text areas come after inputs."""
-    items, out = _elements(html), []
-    for form in (x for x in items if x["tag"] == "form"):
-        own = [x for x in items if any(y is form for y in x["within"])]
+    t, out = tree(html), []
+    for i, form in enumerate(t.elements):
+        if form.tag != "form":
+            continue
+        own = [(k, x) for k, x in enumerate(t.elements[i + 1 : form.last], i + 1) if x.tag in ("input", "select", "textarea") and x.attrs.get("name")]
         fields: dict[str, str] = {}
         hidden: dict[str, str] = {}
         login = False
-        named = [x for x in own if x["attrs"].get("name")]
-        for x in (x for x in named if x["tag"] == "input"):
-            kind, name, value = x["attrs"].get("type", "text"), x["attrs"]["name"], x["attrs"].get("value", "")
+        for _, x in (x for x in own if x[1].tag == "input"):
+            kind, name, value = x.attrs.get("type", "text"), x.attrs["name"], x.attrs.get("value", "")
             fields[name] = value
             if kind == "hidden":
                 hidden[name] = value
             login = login or kind == "password"
-        for x in (x for x in named if x["tag"] == "select"):
-            options = [y["attrs"] for y in own if y["tag"] == "option" and any(z is x for z in y["within"])]
+        for k, x in (x for x in own if x[1].tag == "select"):
+            options = [y.attrs for y in t.elements[k + 1 : x.last] if y.tag == "option"]
             chosen = next((o for o in options if "selected" in o), None)
-            fields[x["attrs"]["name"]] = chosen.get("value", "") if chosen is not None else next((o["value"] for o in options if o.get("value")), "")
-        for x in (x for x in named if x["tag"] == "textarea"):
-            fields[x["attrs"]["name"]] = "".join(x["text"])
-        a = form["attrs"]
+            fields[x.attrs["name"]] = chosen.get("value", "") if chosen is not None else next((o["value"] for o in options if o.get("value")), "")
+        for k, x in (x for x in own if x[1].tag == "textarea"):
+            fields[x.attrs["name"]] = t.text(k)
+        a = form.attrs
         out.append({"action": a.get("action", ""), "method": a.get("method", "get").upper(), "enctype": a.get("enctype", "application/x-www-form-urlencoded"), "fields": fields, "hidden_fields": hidden, "is_login_form": login})
     return out
 
@@ -155,14 +142,14 @@ def selector_of(text: str) -> list[list[tuple[str, list[dict]]]]:
     return alternatives
 
 
-def _simple(x: dict, parts: list[dict]) -> bool:
-    a = x["attrs"]
+def _simple(x: Element, parts: list[dict]) -> bool:
+    a = x.attrs if any(not p["tag"] and not p["any"] for p in parts) else {}
     for p in parts:
         v, w = a.get(p["attr"] or ""), p["val"]
         if p["any"]:
             continue
         if p["tag"]:
-            ok = x["tag"] == p["tag"].lower()
+            ok = x.tag == p["tag"].lower()
         elif p["id"]:
             ok = a.get("id") == p["id"]
         elif p["cls"]:
@@ -174,49 +161,65 @@ def _simple(x: dict, parts: list[dict]) -> bool:
     return True
 
 
-def _stands(x: dict, steps: list[tuple[str, list[dict]]]) -> bool:
-    """Whether an element fits the last of the steps and those it stands in fit the others."""
-    how, parts = steps[-1]
-    if not _simple(x, parts):
-        return False
-    if len(steps) == 1:
-        return True
-    outer = x["within"][-1:] if how == ">" else x["within"]
-    return any(_stands(y, steps[:-1]) for y in outer)
+def _first(t: Tree, alternatives: list[list[tuple[str, list[dict]]]]) -> int | None:
+    """The first element that fits. For each element: which beginnings of each alternative end at it, and which end at it or around it."""
+    at: list[list[int]] = []
+    around: list[list[int]] = []
+    none = [0] * len(alternatives)
+    for i, x in enumerate(t.elements):
+        here_at, here_around = (at[x.parent], around[x.parent]) if x.parent >= 0 else (none, none)
+        own = []
+        for k, steps in enumerate(alternatives):
+            fits = 0
+            for n, (how, parts) in enumerate(steps):
+                if (n == 0 or (here_at if how == ">" else here_around)[k] >> (n - 1) & 1) and _simple(x, parts):
+                    fits |= 1 << n
+            if fits >> (len(steps) - 1) & 1:
+                return i
+            own.append(fits)
+        at.append(own)
+        around.append([a | b for a, b in zip(own, here_around, strict=True)])
+    return None
 
 
 def token_of(html: str | None, selector: str) -> str | None:
     """The value, else the text, of the first element that fits a selector: tags, *, #id, .class, [attr], [attr=value] and its
     variants, inside others (space) or right inside them (>), alternatives with commas. Another selector is an error."""
     alternatives = selector_of(selector)
-    for x in _elements(html):
-        if any(_stands(x, steps) for steps in alternatives):
-            return x["attrs"]["value"] if "value" in x["attrs"] else "".join(x["text"]).strip() or None
-    return None
+    t = tree(html)
+    i = _first(t, alternatives)
+    if i is None:
+        return None
+    a = t.elements[i].attrs
+    return a["value"] if "value" in a else t.text(i).strip() or None
 
 
 FORM = "struct<action:string,method:string,enctype:string,fields:map<string,string>,hidden_fields:map<string,string>,is_login_form:boolean>"
 
 
 def markdown(html: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([markdown_of(x) for x in batch], dtype=object)
+    """Without lines that are boilerplate."""
 
-    return run(html)
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array([markdown_of(x) for x in batch.to_pylist()], pa.string())
+
+    return F.array_join(F.filter(F.split(run(html), "\n"), lambda x: (x != "") & ~H.is_boilerplate(x)), "\n")
 
 
 def forms(html: Column) -> Column:
-    @F.udf(f"array<{FORM}>", useArrow=True)
-    def run(x: str) -> list:
-        return forms_of(x)
+    @F.arrow_udf(f"array<{FORM}>")
+    def run(batch: pa.Array) -> pa.Array:
+        pairs = pa.map_(pa.string(), pa.string())
+        form = pa.struct([("action", pa.string()), ("method", pa.string()), ("enctype", pa.string()), ("fields", pairs), ("hidden_fields", pairs), ("is_login_form", pa.bool_())])
+        return pa.array([[f | {k: list(f[k].items()) for k in ("fields", "hidden_fields")} for f in forms_of(x)] for x in batch.to_pylist()], pa.list_(form))
 
     return run(html)
 
 
 def token(html: Column, selector: str) -> Column:
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([token_of(x, selector) for x in batch], dtype=object)
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array([token_of(x, selector) for x in batch.to_pylist()], pa.string())
 
     return run(html)
