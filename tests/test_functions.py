@@ -133,6 +133,30 @@ def test_intervals_model(spark):
     assert {x.pos: x.v for x in intervals.first_container(a, b, "k", "pos", "v", 7.0).collect()} == inside
 
 
+def test_intervals_of_all_lengths(spark):
+    """One interval of a thousand million seconds, and lengths over nine orders, beside many short ones."""
+    r = random.Random(6)
+    span = lambda n: [(k, i, s, s + r.choice([0.0, 3.0, 30.0, 10.0 ** r.uniform(0, 9)])) for i in range(n) for k, s in [(i % 2, r.uniform(-1e3, 1e6 if i % 3 else 500.0))]]
+    left = [*span(300), (0, 300, -5.0, 1e9), (1, 301, 7.0, 2.0), (0, 302, None, 3.0), (0, 303, float("nan"), 3.0), (0, 304, 1.0, float("inf")), (1, 305, 1e300, 1.5e300)]
+    right = [*span(300), (1, 300, 0.0, 1e9), (0, 301, 5.0, 5.0), (None, 302, 5.0, 5.0)]
+    a = spark.createDataFrame(left, "k int, pos int, l_start double, l_end double")
+    b = spark.createDataFrame(right, "k int, r_pos int, r_start double, r_end double")
+    ok = lambda *x: all(v is not None and abs(v) < float("inf") for v in x)
+    for slack in (0.0, 2.5):
+        want = sorted((i, j) for k, i, s, e in left for k2, j, s2, e2 in right if k == k2 and ok(s, e, s2, e2) and s2 <= e + slack and s - slack <= e2)
+        assert sorted((x.pos, x.r_pos) for x in intervals.overlap_pairs(a, b, "k", slack=slack).collect()) == want and len(want) > 1000
+
+
+def test_one_wild_interval(spark):
+    """Rows are bounded by levels: the wild interval costs its bins, and two rows for each of the others, not its length."""
+    short = spark.range(100_000).selectExpr("0 as k", "id as pos", "id * 10.0D as l_start", "id * 10.0D + 4 as l_end")
+    long = spark.createDataFrame([(0, 0, 3.0, 1e9), (0, 1, 50.0, 51.0)], "k int, r_pos int, r_start double, r_end double")
+    assert intervals.overlap_pairs(short, long, "k").groupBy("r_pos").count().orderBy("r_pos").collect() == [(0, 100_000), (1, 1)]
+    levels = spark.createDataFrame([([0, 25],)], "_levels array<int>")
+    binned = intervals._binned(intervals._leveled(short, F.col("l_start"), F.col("l_end"), 30.0, "l"), F.col("l_start"), F.col("l_end"), 30.0, "l", levels, lambda n, own: n > own)
+    assert binned.count() <= 4 * 100_000
+
+
 def test_label_track(spark):
     rows = [(0, 0, "John", 0, 1000), (0, 1, "John", 1000, 2000), (0, 2, "Jane", 2500, 4000), (0, 3, "Jane", 9000, 9100)]
     got = intervals.speaker_labels(spark.createDataFrame(rows, "k int, pos int, speaker string, start_ms long, end_ms long"), "k")
@@ -144,7 +168,7 @@ def test_tables(spark):
     for line, (a, b) in enumerate([("Name", "Age"), ("Ann", "30"), ("Bob", "41"), ("plain", "")]):
         rows += [(0, 0, c, i * 6.0, 100.0 - 12 * line, 6.0, 10.0) for i, c in enumerate(a)] + [(0, 0, c, 60 + i * 6.0, 100.0 - 12 * line, 6.0, 10.0) for i, c in enumerate(b)]
     found = layout.lines(spark.createDataFrame(rows, "doc int, page int, ch string, x double, y double, width double, height double"), "doc")
-    got = layout.tables(found.withColumn("bounds", F.transform("bounds", lambda b: F.round(b / 30) * 30)), "doc").select(layout.markdown(F.col("rows")).alias("m")).collect()
+    got = layout.tables(found, "doc").select(layout.markdown(F.col("rows")).alias("m")).collect()
     assert [x.m for x in got] == ["| Name | Age |\n| --- | --- |\n| Ann | 30 |\n| Bob | 41 |\n"]
     df = spark.createDataFrame([Row(a=[10.0, 50.0], b=[12.0, 48.0], c=[10.0], d=[20.0, 50.0], e=[])], "a array<double>, b array<double>, c array<double>, d array<double>, e array<double>")
     assert df.select(*[layout.aligned(F.col("a"), F.col(x)) for x in "abcd"], layout.aligned(F.col("e"), F.col("e"))).first() == (True, True, False, False, False)

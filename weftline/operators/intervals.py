@@ -2,26 +2,61 @@
 
 Spark has no range join: a pure range condition compares all rows of a key. Both sides are therefore put in time bins,
 joined by key and bin, and checked again; a pair that meets in several bins counts in the first it shares.
+
+Bins come in levels, each twice as wide as the one before. An interval's own level is the first whose bins are as long as it is, so
+it lies in two of them, however long it is; two intervals meet at the greater of their levels. For that an interval is also put in
+the (at most two) bins of those greater levels that the other side has intervals of. One wild end among short intervals costs each
+of them two rows more, and does not become as many rows as it is long.
+
+Defined results: an interval with a bound that is null, not a number or infinite meets nothing; one that ends before it starts meets
+what holds both its bounds, in the order they have.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _binned(df: DataFrame, start: Column, end: Column, width: float, name: str) -> DataFrame:
-    first, last = F.floor(start / width).cast("long"), F.floor(end / width).cast("long")
-    return df.withColumn(f"_{name}_first", first).withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, last))))
+def _level(start: Column, end: Column, width: float) -> Column:
+    """The least n for which bins of width * 2**n are as long as the interval; 0 or more."""
+    longer = F.greatest((end - start) / width, F.lit(1.0))
+    return F.ceil(F.log2(longer)).cast("int")
+
+
+def _bin(at: Column, level: Column, width: float) -> Column:
+    return F.floor(at / (F.pow(F.lit(2.0), level) * width))
+
+
+def _leveled(df: DataFrame, start: Column, end: Column, width: float, name: str) -> DataFrame:
+    known = [x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) for x in (start.cast("double"), end.cast("double"))]
+    return df.filter(known[0] & known[1]).withColumn(f"_{name}_level", _level(start, end, width))
+
+
+def _binned(df: DataFrame, start: Column, end: Column, width: float, name: str, other: DataFrame, wider: Callable[[Column, Column], Column]) -> DataFrame:
+    """A row for each bin of the interval's own level (_of: this side) and of those levels of the other side that are wider (_of: the other)."""
+    own, theirs = F.col(f"_{name}_level"), F.filter("_levels", lambda n: wider(n, F.col(f"_{name}_level")))
+    mine, yours = ("l", "r") if name == "l" else ("r", "l")
+    at = F.concat(F.array(F.struct(F.lit(mine).alias("of"), own.alias("level"))), F.transform(theirs, lambda n: F.struct(F.lit(yours).alias("of"), n.alias("level"))))
+    met = df.crossJoin(F.broadcast(other)).withColumn("_at", F.explode(at))  # other: one row with a side's levels, about a thousand at most
+    first, last = (_bin(x, F.col("_at.level"), width) for x in (start, end))
+    met = met.withColumns({"_of": F.col("_at.of"), "_level": F.col("_at.level"), f"_{name}_first": first})
+    return met.withColumn("_bin", F.explode(F.sequence(F.col(f"_{name}_first"), F.greatest(F.col(f"_{name}_first"), last)))).drop("_at", "_levels", f"_{name}_level")
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, key: str, width: float = 30.0, slack: float = 0.0) -> DataFrame:
     """Pairs of the same key whose closed intervals meet, the left's widened by ``slack``. left: l_start, l_end; right: r_start, r_end."""
-    a = _binned(left, F.col("l_start") - slack, F.col("l_end") + slack, width, "l")
-    b = _binned(right, F.col("r_start"), F.col("r_end"), width, "r")
-    met = a.join(b, [key, "_bin"])
+    l_bounds, r_bounds = (F.col("l_start") - slack, F.col("l_end") + slack), (F.col("r_start"), F.col("r_end"))
+    a, b = _leveled(left, *l_bounds, width, "l"), _leveled(right, *r_bounds, width, "r")
+    levels = lambda df, n: df.agg(F.collect_set(f"_{n}_level").alias("_levels"))
+    # Of two intervals of one level the left one's bins count.
+    x = _binned(a, *l_bounds, width, "l", levels(b, "r"), lambda n, own: n > own)
+    y = _binned(b, *r_bounds, width, "r", levels(a, "l"), lambda n, own: n >= own)
+    met = x.join(y, [key, "_of", "_level", "_bin"])
     same = F.col("_bin") == F.greatest("_l_first", "_r_first")
-    return met.filter(same & (F.col("r_start") <= F.col("l_end") + slack) & (F.col("l_start") - slack <= F.col("r_end"))).drop("_bin", "_l_first", "_r_first")
+    return met.filter(same & (F.col("r_start") <= F.col("l_end") + slack) & (F.col("l_start") - slack <= F.col("r_end"))).drop("_of", "_level", "_bin", "_l_first", "_r_first")
 
 
 def most_overlap(left: DataFrame, right: DataFrame, key: str, pos: str, value: str, width: float = 30.0) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import bisect
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .intervals import islands
@@ -28,37 +31,66 @@ def lines(glyphs: DataFrame, doc: str) -> DataFrame:
     return rows.select(doc, "line", "page", F.get("chars", F.lit(0))["x"].alias("x"), F.get("chars", F.lit(0))["y"].alias("y"), (last["x"] + last["width"]).alias("x_end"), text.alias("text"), bounds.alias("bounds"), "chars")
 
 
-def _cells(chars: Column, bounds: Column) -> Column:
-    """A line's text by column: a glyph's column is the number of bounds at or left of it."""
-    at = lambda g: F.size(F.filter(bounds, lambda b: b <= g["x"]))
-    return F.transform(F.sequence(F.lit(0), F.size(bounds)), lambda k: F.trim(F.array_join(F.transform(F.filter(chars, lambda g: at(g) == k), lambda g: g["ch"]), "")))
-
-
 def aligned(a: Column, b: Column, tolerance: float = 5.0) -> Column:
     """As many bounds on both sides, at least one, each nearer than the tolerance."""
     return (F.size(a) == F.size(b)) & (F.size(a) > 0) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: d < tolerance)
 
 
+class _Runs:
+    """Walks a page's lines in order and yields its tables: runs of lines that align with the run's first line."""
+
+    def __init__(self, doc: str, least: int, tolerance: float) -> None:
+        self.doc, self.least, self.tolerance = doc, least, tolerance
+        self.run: list = []
+        self.n = -1
+
+    def fits(self, bounds: list[float]) -> bool:
+        first = self.run[0]["bounds"] if self.run else []
+        return 0 < len(first) == len(bounds) and all(abs(a - b) < self.tolerance for a, b in zip(first, bounds, strict=True))
+
+    def put(self, line: Row) -> Iterator[tuple]:
+        if not self.fits(line["bounds"]):
+            yield from self.end()
+            self.n += 1
+            self.run = []
+        self.run.append(line)
+
+    def end(self) -> Iterator[tuple]:
+        bounds = self.run[0]["bounds"] if self.run else []
+        if len(self.run) >= self.least and bounds:
+            of = lambda name: [line[name] for line in self.run]
+            yield (self.run[0][self.doc], self.run[0]["page"], self.n, min(of("x")), max(of("x_end")), min(of("y")), max(of("y")), [self.cells(line["chars"], bounds) for line in self.run])
+
+    @staticmethod
+    def cells(chars: list, bounds: list[float]) -> list[str]:
+        """A line's text by column: a glyph's column is the number of bounds at or left of it."""
+        found = [""] * (len(bounds) + 1)
+        for g in chars:
+            found[bisect.bisect_right(bounds, g["x"])] += g["ch"]
+        return [x.strip(" ") for x in found]
+
+
 def tables(found: DataFrame, doc: str, least: int = 3, tolerance: float = 5.0) -> DataFrame:
-    """(doc, page, x_min, x_max, y_min, y_max, rows) of runs of lines that align with the run's first line.
+    """(doc, page, n, x_min, x_max, y_min, y_max, rows) of runs of lines that align with the run's first line.
 
-    The first line, not the one before, is compared, so a page's lines are folded in order.
+    The first line, not the one before, is compared, so a page's lines are walked in order: a table function over lines that are
+    partitioned by page and sorted by line, which holds one run at a time.
     """
-    page = found.groupBy(doc, "page").agg(F.array_sort(F.collect_list(F.struct("line", "x", "y", "x_end", "bounds", "chars"))).alias("l"))
-    line_type = page.select(F.get("l", F.lit(0)).alias("x")).schema["x"].dataType.simpleString()
-    zero = F.array().cast(f"array<array<{line_type}>>")
-
-    def put(runs: Column, x: Column) -> Column:
-        last = F.element_at(runs, -1)
-        joins = (F.size(runs) > 0) & aligned(F.get(last, F.lit(0))["bounds"], x["bounds"], tolerance)
-        return F.when(joins, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.concat(last, F.array(x))))).otherwise(F.concat(runs, F.array(F.array(x))))
-
-    runs = page.select(doc, "page", F.posexplode(F.aggregate("l", zero, put)).alias("n", "run"))
-    first = F.get("run", F.lit(0))["bounds"]
-    runs = runs.filter((F.size("run") >= least) & (F.size(first) > 0))
-    of = lambda name: F.transform("run", lambda x: x[name])
-    cells = F.transform("run", lambda x: _cells(x["chars"], first))
-    return runs.select(doc, "page", "n", F.array_min(of("x")).alias("x_min"), F.array_max(of("x_end")).alias("x_max"), F.array_min(of("y")).alias("y_min"), F.array_max(of("y")).alias("y_max"), cells.alias("rows"))
+    types = dict(found.dtypes)
+    schema = f"{doc} {types[doc]}, page {types['page']}, n int, x_min double, x_max double, y_min double, y_max double, rows array<array<string>>"
+
+    class Walk:
+        def __init__(self) -> None:
+            self.runs = _Runs(doc, least, tolerance)
+
+        def eval(self, line: Row) -> Iterator[tuple]:
+            yield from self.runs.put(line)
+
+        def terminate(self) -> Iterator[tuple]:
+            yield from self.runs.end()
+
+    lines_of = found.select(doc, "page", "line", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("x_end").cast("double").alias("x_end"), "bounds", F.transform("chars", lambda g: F.struct(g["ch"].alias("ch"), g["x"].alias("x"))).alias("chars"))
+    return F.udtf(Walk, returnType=schema)(lines_of.asTable().partitionBy(doc, "page").orderBy("line"))
 
 
 def markdown(rows: Column) -> Column:

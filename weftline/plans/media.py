@@ -22,20 +22,20 @@ def probed_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", M.probe(json).alias("p")).filter("p is not null").select("s_suppkey", "p.*")
 
 
-@PAIRS.add("""SELECT conv_id, CAST(turn AS INTEGER) AS id, CAST(turn * 2500 AS BIGINT) AS start_ms, CAST(turn * 2500 + 1250 AS BIGINT) AS end_ms, 's' || turn AS text, CASE WHEN turn % 2 = 0 THEN role END AS speaker, CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END AS n_words, 'fi' AS language FROM conversations""")
+@PAIRS.add("""SELECT conv_id, CAST(turn AS INTEGER) AS id, CAST(turn * 2500 AS BIGINT) AS start_ms, CAST(turn * 2500 + 1250 AS BIGINT) AS end_ms, text, CASE WHEN turn % 2 = 0 THEN role END AS speaker, CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END AS n_words, 'fi' AS language FROM conversations""")
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("turn")
     word = F.array(F.struct(F.lit("w").alias("word"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end")))
-    seg = F.struct(t.alias("id"), (t * 2.5).alias("start"), (t * 2.5 + 1.25).alias("end"), F.concat(F.lit(" s"), t.cast("string"), F.lit(" ")).alias("text"), F.when(t % 2 == 0, F.col("role")).alias("speaker"), F.when(t % 3 == 0, word).alias("words"))
+    seg = F.struct(t.alias("id"), (t * 2.5).alias("start"), (t * 2.5 + 1.25).alias("end"), F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("text"), F.when(t % 2 == 0, F.col("role")).alias("speaker"), F.when(t % 3 == 0, word).alias("words"))
     records = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.lit("fi").alias("language"), F.array_sort(F.collect_list(seg)).alias("segments"))).alias("j"))
     return records.select("conv_id", F.explode(M.transcript(F.col("j"))).alias("s")).select("conv_id", "s.*")
 
 
-@PAIRS.add("""WITH t AS (SELECT conv_id, count(*) AS n, bool_and(conv_id % 4 = 0) AS scanned, string_agg(CASE WHEN turn % 3 = 1 THEN '' WHEN r > 1 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || role ELSE role END, '' ORDER BY turn) AS x FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY conv_id)
+@PAIRS.add("""WITH t AS (SELECT conv_id, count(*) AS n, bool_and(conv_id % 4 = 0) AS scanned, string_agg(CASE WHEN turn % 3 = 1 THEN '' WHEN r > 1 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || text ELSE text END, '' ORDER BY turn) AS x FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY conv_id)
 SELECT conv_id, CASE WHEN conv_id % 7 = 0 THEN NULL WHEN scanned OR x = '' THEN '*Scanned PDF (' || n || ' pages) -- no text layer detected. Use OCR to extract text.*' ELSE x END AS markdown FROM t""")
 def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts joined in order; blank ones, scanned documents, and bodies that are too large."""
-    text = F.when(F.col("conv_id") % 4 == 0, "").when(F.col("turn") % 3 == 1, "").otherwise(F.col("role"))
+    text = F.when(F.col("conv_id") % 4 == 0, "").when(F.col("turn") % 3 == 1, "").otherwise(F.col("text"))
     pages = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", text.alias("t")))).alias("p"))
     size = F.when(F.col("conv_id") % 7 == 0, M.MAX_BODY + 1).otherwise(1000)
     return pages.select("conv_id", M.paged_text(F.transform("p", lambda x: x["t"]), size).alias("markdown"))

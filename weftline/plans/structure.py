@@ -95,14 +95,31 @@ def glyph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc", "line", "text", F.array_join(F.transform("bounds", lambda b: b.cast("string")), ",").alias("bounds"))
 
 
-@PAIRS.add()
+def drifting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same glyphs, with columns that stand up to 12 apart from line to line: some align with the line before and not with their run's first."""
+    moved = F.when((F.col("x") > 12) & (F.floor(F.col("p_partkey") / 4) % 3 > 0), 3.0 * (F.col("p_partkey") % 9)).otherwise(0.0)
+    return glyphs(spark, sf_dir).withColumn("x", F.col("x") + moved).drop("p_partkey")
+
+
+# A line's bound is half-way of its gap. Runs are walked from line to line with the bound and the number of their first line.
+SQL_RUNS = """WITH RECURSIVE g AS (SELECT p_partkey // 10 AS doc, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) - 1 AS line, lpad(CAST(p_partkey % 7 AS VARCHAR), 2, 'x') AS a, p_name AS b,
+ CASE WHEN p_partkey // 4 % 3 > 0 THEN 15 + (30 + 3.0 * (p_partkey % 9)) / 2 END AS bound, CASE WHEN p_partkey // 4 % 3 > 0 THEN 30 + 3.0 * (p_partkey % 9) ELSE 4 END AS gap, 1000.0 - p_partkey % 10 * 12 AS y FROM part),
+r AS (SELECT doc, line, bound AS b0, line AS l0 FROM g WHERE line = 0
+ UNION ALL SELECT g.doc, g.line, CASE WHEN abs(g.bound - r.b0) < 5 THEN r.b0 ELSE g.bound END, CASE WHEN abs(g.bound - r.b0) < 5 THEN r.l0 ELSE g.line END FROM r JOIN g ON g.doc = r.doc AND g.line = r.line + 1),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY doc ORDER BY l0) - 1 AS n FROM r),
+t AS (SELECT doc, n, min(l0) AS l0, 0.0::DOUBLE AS x_min, CAST(max((length(a) + length(b)) * 6.0 + 6 + gap) AS DOUBLE) AS x_max, CAST(min(y) AS DOUBLE) AS y_min, CAST(max(y) AS DOUBLE) AS y_max,
+ string_agg('| ' || a || ' | ' || replace(b, ' ', '') || ' |' || chr(10) || CASE WHEN line = l0 THEN '| --- | --- |' || chr(10) ELSE '' END, '' ORDER BY line) AS markdown FROM n JOIN g USING (doc, line) GROUP BY doc, n HAVING count(*) >= 3 AND bool_and(b0 IS NOT NULL))
+"""
+
+
+@PAIRS.add(SQL_RUNS + "SELECT doc, 0 AS page, CAST(n AS INTEGER) AS n, x_min, x_max, y_min, y_max, markdown FROM t")
 def glyph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables as markdown with their boxes; runs are anchored to their first line, which SQL windows do not express."""
-    df = L.tables(L.lines(glyphs(spark, sf_dir).drop("p_partkey"), "doc"), "doc")
+    """Tables as markdown with their boxes; runs are anchored to their first line."""
+    df = L.tables(L.lines(drifting(spark, sf_dir), "doc"), "doc")
     return df.select("doc", "page", "n", "x_min", "x_max", "y_min", "y_max", L.markdown(F.col("rows")).alias("markdown"))
 
 
-@PAIRS.add()
+@PAIRS.add(SQL_RUNS + """SELECT g.doc, g.line, 0 AS page, a || ' ' || b AS text, CAST(t.n AS INTEGER) AS "table", coalesce(g.line = t.l0, false) AS emits FROM g JOIN n USING (doc, line) LEFT JOIN t ON t.doc = n.doc AND t.n = n.n""")
 def lines_in_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = L.lines(glyphs(spark, sf_dir).drop("p_partkey"), "doc")
+    found = L.lines(drifting(spark, sf_dir), "doc")
     return L.place_tables(found, L.tables(found, "doc"), "doc")
