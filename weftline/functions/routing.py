@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +38,65 @@ def handler(body: Column, content_type: Column, also: dict[str, list[str]] | Non
     return out.when(starts, "html").otherwise("plain")
 
 
+@dataclass(frozen=True)
+class Handler:
+    """A converter of bodies of some types: a column function of (body, content type), or a function of a list of bodies that
+    returns as many texts. The second kind may fail: for all, or (asked again one by one) for some."""
+
+    name: str
+    types: tuple[str, ...]
+    column: Callable[[Column, Column], Column] | None = None
+    batch: Callable[[list[str]], list[str | None]] | None = None
+
+
+def dispatched(body: Column, content_type: Column, handlers: Sequence[Handler]) -> Column:
+    """(handler, markdown, error) of each body, by the handlers of one's own, then by those that are built in.
+
+    Every handler sees its own rows only: column functions stand behind conditions, and one Arrow function takes the bodies of all
+    others, null where a row is not theirs, and deals each batch to them. What fails is its row's error and stops nothing; a column
+    function that gives null has failed. A null body gives nulls.
+    """
+    which = F.when(body.isNotNull(), handler(body, content_type, {h.name: list(h.types) for h in handlers}))
+    by_name = {h.name: h.batch for h in handlers if h.batch}
+
+    @F.arrow_udf("struct<markdown:string,error:string>")
+    def run(names: pa.Array, bodies: pa.Array) -> pa.Array:
+        out: list[dict | None] = [None] * len(names)
+        theirs: dict[str, list[int]] = {}
+        for i, n in enumerate(names.to_pylist()):
+            if n is not None:
+                theirs.setdefault(n, []).append(i)
+        for n, rows in theirs.items():
+            for i, got in zip(rows, converted(by_name[n], bodies.take(pa.array(rows)).to_pylist()), strict=True):
+                out[i] = got
+        return pa.array(out, pa.struct([("markdown", pa.string()), ("error", pa.string())]))
+
+    markdown, error = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for h in handlers:
+        if h.column:
+            got = h.column(body, content_type)
+            markdown = F.when(which == h.name, got).otherwise(markdown)
+            error = F.when((which == h.name) & got.isNull(), F.lit(f"{h.name}: no result")).otherwise(error)
+    if by_name:
+        theirs = which.isin(*by_name)
+        got = run(F.when(theirs, which), F.when(theirs, body))
+        markdown, error = F.when(theirs, got["markdown"]).otherwise(markdown), F.when(theirs, got["error"]).otherwise(error)
+    return F.struct(which.alias("handler"), markdown.alias("markdown"), error.alias("error"))
+
+
+def converted(batch: Callable[[list[str]], list[str | None]], bodies: list[str]) -> list[dict]:
+    """What a batch function makes of bodies; if it fails, of each alone."""
+    try:
+        found = list(batch(bodies))
+        if len(found) != len(bodies):
+            raise ValueError(f"{len(found)} texts of {len(bodies)} bodies")
+        return [{"markdown": x, "error": None} for x in found]
+    except Exception as e:  # noqa: BLE001  a handler's failure is its row's
+        if len(bodies) == 1:
+            return [{"markdown": None, "error": f"{type(e).__name__}: {e}"}]
+    return [x for b in bodies for x in converted(batch, [b])]
+
+
 def sites(url: Column) -> list[tuple[str, Column]]:
     """The sites' conditions in the order in which they are asked."""
     u = U.bare(url)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import jsonx as J
 from ..functions import routing as R
 from ..sources.tables import table
 from ._pairs import Pairs
@@ -45,6 +49,40 @@ def content_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", "content_type", "handler", F.when(F.col("handler") == "plain", F.make_valid_utf8(F.col("body"))).when(F.col("handler") == "html", F.array_join(H.page_lines(F.col("body")), "\n")).alias("markdown"))
 
 
+def _csv_table(bodies: list[str]) -> list[str]:
+    rows = [list(csv.reader(io.StringIO(b))) for b in bodies]
+    line = lambda r: "| " + " | ".join(r) + " |"
+    return ["\n".join([line(r[0]), "|" + " --- |" * len(r[0]), *map(line, r[1:])]) for r in rows]
+
+
+def _json_outline(bodies: list[str]) -> list[str]:
+    return ["\n".join(J.outline(J.parsed(b))) for b in bodies]
+
+
+OWN = [
+    R.Handler("html", ("text/html", "application/xhtml+xml"), column=lambda b, t: F.array_join(H.page_lines(b), "\n")), R.Handler("csv", ("text/csv",), batch=_csv_table), R.Handler("json", ("application/json",), batch=_json_outline),
+    R.Handler("title", ("application/x-title",), column=lambda b, t: H.title(b)), R.Handler("plain", ("text/plain",), column=lambda b, t: F.make_valid_utf8(b)),
+]
+SQL_LINES = f"""array_to_string(list_filter(list_transform(string_split({SQL_ENTITIES.format(x=SQL_TEXT.format(html="html"))}, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\r\\f\\v\\x{{00A0}}]+|[ \\t\\r\\f\\v\\x{{00A0}}]+$', '', 'g')), lambda x: x <> '' AND NOT (NOT contains(x, '](')
+ AND (contains(lower(x), 'skip to content') OR contains(lower(x), 'cookie') OR contains(lower(x), 'privacy policy') OR contains(lower(x), 'terms of service') OR starts_with(lower(x), '©') OR starts_with(lower(x), 'copyright') OR (strlen(x) < 3 AND NOT regexp_matches(lower(x), '[\\p{{L}}\\p{{N}}]'))))), chr(10))"""
+
+
+@PAIRS.add(f"""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'html' WHEN 1 THEN 'csv' WHEN 2 THEN 'json' WHEN 3 THEN 'title' WHEN 4 THEN 'html' END AS handler,
+ CASE page_id % 6 WHEN 0 THEN {SQL_LINES} WHEN 1 THEN '| url | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || url || ' | ' || length(html) || ' |' WHEN 2 THEN CASE WHEN page_id % 4 = 0 THEN 'size: number' || chr(10) || 'url: string' END
+ WHEN 3 THEN CASE WHEN page_id % 9 <> 0 THEN regexp_replace({SQL_ENTITIES.format(x=r"nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')")}, '^[ \\t]+|[ \\t]+$', '', 'g') END WHEN 4 THEN {SQL_LINES} END AS markdown,
+ CASE WHEN page_id % 6 = 2 AND page_id % 4 <> 0 THEN 'JSONDecodeError: Expecting value: line 1 column 9 (char 8)' WHEN page_id % 6 = 3 AND page_id % 9 = 0 THEN 'title: no result' END AS error FROM pages""")
+def dispatched_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed bodies to handlers of one's own, some of which fail; a type that no handler names goes by how the body starts, and a null body to none."""
+    k, size = F.col("page_id"), F.length("html").cast("string")
+    sized = F.when(k % 4 == 0, size).otherwise("")
+    body = (
+        F.when(k % 6 == 1, F.concat(F.lit("url,size\n"), "url", F.lit(","), size)).when(k % 6 == 2, F.concat(F.lit('{"size":'), sized, F.lit(',"url":"'), "url", F.lit('"}')))
+        .when((k % 6 == 3) & (k % 9 == 0), "<p>none</p>").when(k % 6 != 5, F.col("html"))
+    )
+    kind = F.element_at(F.array(*map(F.lit, ["text/html; charset=utf-8", "text/csv", "application/json", "application/x-title", "application/x-unknown", "text/plain"])), (k % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", R.dispatched(body, kind, OWN).alias("d")).select("page_id", "d.*")
+
+
 def _has(*xs: str) -> str:
     return "(" + " OR ".join(f"contains(u, '{x}')" for x in xs) + ")"
 
