@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import discovery, jsonx, markup, parser
+from weftline.functions import discovery, html, jsonx, markup, parser, streams, subtitles
 
 
 def names(html):
@@ -103,6 +103,16 @@ def test_long_pages_as_columns(spark):
     assert got["paragraphs"].md == "\n".join(["x"] * N)
 
 
+def test_native_text_of_long_pages(spark):
+    """The native conversion takes unclosed tags by the ten thousand in linear time, and gives what it gave."""
+    pages = spark.createDataFrame([(k, v) for k, v in LONG.items()] + [("titles", "<title>" * N), ("heads", "<head><style>" * N), ("blocks", "<p " * N), ("mixed", "a<script>b</script >c<script>d<!-- e -->f<!-- g<p>h<title>T</title><title>")], "name string, html string")
+    start = time.perf_counter()
+    got = {r.name: r for r in pages.select("name", html.raw_text(F.col("html")).alias("text"), html.title(F.col("html")).alias("title")).collect()}
+    assert time.perf_counter() - start < 60
+    assert got["mixed"].text == "a c d f T"
+    assert (got["mixed"].title, got["titles"].title, got["titles"].text, got["blocks"].text) == ("T", None, "", "\n" + "<p " * N)
+
+
 DEEP = ["[" * 1_000_000, "[" * 1_000_000 + "]" * 1_000_000, '{"a":' * 500_000 + "1" + "}" * 500_000, '{"k":1,"b":' + "[" * 128 + "]" * 128 + "}"]
 
 
@@ -119,3 +129,25 @@ def test_deep_json(spark):
     assert all(r.cut is None and r.outline is None and r.s is None for r in rows[:4] + rows[6:])
     assert rows[4].cut == '[["[depth limit]"]]' or rows[4].cut == '["[depth limit]"]'
     assert (rows[5].cut, rows[5].outline, rows[5].k, rows[5].s) == ('{"k":["[depth limit]","... +2 more"]}', "k: [3 items]", "[1,2,3]", '{"k":[1,2,3]}')
+
+
+def test_own_strategies(spark):
+    own = [streams.Service("mine", lambda u: F.startswith(u, F.lit("my:")), lambda u: F.substr(u, F.lit(4)))]
+    readers = [streams.Backend("mine", lambda u, e: F.when(F.startswith(u, F.lit("my:")), e))]
+    rows = spark.createDataFrame([("my:7", True), ("my:7.m3u8", False), ("https://areena.yle.fi/1-5", False), (None, True)], "u string, e boolean")
+    got = rows.select(streams.routed(F.col("u"), F.col("e"), own, readers).alias("r")).select("r.*").collect()
+    assert [tuple(r) for r in got] == [("mine", "7", None, "mine"), ("mine", "7.m3u8", None, "native"), ("yle", "1-5", "1-5", "ffmpeg"), (None, None, None, None)]
+    entry = F.array(F.struct(F.lit(0).alias("start_ms"), F.lit(1500).alias("end_ms"), F.lit("hi").alias("text"), F.lit("A").alias("speaker")))
+    kinds = spark.createDataFrame([("srt",), ("txt",), ("n",), ("x",)], "k string")
+    got = kinds.select(subtitles.generated(F.col("k"), entry, {"n": lambda e: F.size(e).cast("string")}).alias("t")).collect()
+    assert [r.t for r in got] == ["1\n00:00:00,000 --> 00:00:01,500\n[A] hi\n\n", "A: hi\n", "1", None]
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from weftline.__main__ import main
+
+    assert main([]) == 0 and "page_text" in capsys.readouterr().out
+    assert main(["strip_tags", "--tables", sf, "--to", str(tmp_path / "out"), "--format", "json"]) == 0
+    assert spark.read.json(str(tmp_path / "out")).count() > 0
+    with pytest.raises(SystemExit):
+        main(["strip_tags"])

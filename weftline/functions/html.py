@@ -19,18 +19,24 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
+def _replaced(html: Column, begin: str, rest: str, by: str) -> Column:
+    """What begins and has its rest, replaced. Where the rest is missing, nothing behind matches either: there the page's end is taken as
+    it is in one step, so that a search does not go to the end from every beginning."""
+    return F.regexp_replace(html, f"(?is){begin}{rest}|({begin}.*)$", f"{by}$1")
+
+
 def raw_text(html: Column) -> Column:
     """The text of a page, a line for each block; entities decoded, ``&amp;`` last."""
     for name in DROPPED:
-        html = F.regexp_replace(html, rf"(?is)<{name}\b.*?</{name}\s*>", " ")
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    html = F.regexp_replace(html, rf"(?i)</?(?:{BLOCK})\b[^>]*>", "\n")
-    return decode_entities(F.regexp_replace(html, r"<[^>]*>", ""))
+        html = _replaced(html, rf"<{name}\b", rf".*?</{name}\s*>", " ")
+    html = _replaced(html, "<!--", ".*?-->", " ")
+    html = _replaced(html, rf"</?(?:{BLOCK})\b", "[^>]*>", "\n")
+    return decode_entities(_replaced(html, "<", "[^>]*>", ""))
 
 
 def title(html: Column) -> Column:
     """The first title, trimmed, null if there is none or an empty one."""
-    found = F.nullif(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
+    found = F.nullif(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>|<title.*$", 1), F.lit(""))
     return F.regexp_replace(decode_entities(found), rf"^{SPACES}+|{SPACES}+$", "")
 
 

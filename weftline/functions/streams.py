@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +81,47 @@ def series_id(name: str, url: Column) -> Column:
     return F.when(F.startswith(url, F.lit("http")), found).otherwise(url)
 
 
+@dataclass(frozen=True)
+class Service:
+    """A streaming service: which urls are its, and what they name there."""
+
+    name: str
+    matches: Callable[[Column], Column]
+    program: Callable[[Column], Column] | None = None
+    series: Callable[[Column], Column] | None = None
+
+
+@dataclass(frozen=True)
+class Backend:
+    """A reader of streams, by (url, whether it is encrypted)."""
+
+    name: str
+    reads: Callable[[Column, Column], Column]
+
+
+def _own(name: str) -> Service:
+    return Service(name, lambda u: _any(u, SERVICES[name]), lambda u: program_id(name, u), lambda u: series_id(name, u))
+
+
+BUILT_IN = [*map(_own, SERVICES), Service("generic", _ends)]
+BACKENDS = [Backend("native", lambda u, e: ~e & F.contains(u, F.lit(".m3u8"))), Backend("streamlink", lambda u, e: tool_reads(u)), Backend("ffmpeg", lambda u, e: u.isNotNull())]
+
+
+def routed(url: Column, encrypted: Column, services: Sequence[Service] = (), backends: Sequence[Backend] = ()) -> Column:
+    """(service, program, series, backend) of each url: the first service that it fits and the first backend that reads it, those of one's
+    own being asked before the built-in ones. What no service fits has no ids; a condition that is null does not fit."""
+    none = F.lit(None).cast("string")
+    named, program, series, reader = none, none, none, none
+    for s in reversed([*services, *BUILT_IN]):
+        fits = F.coalesce(s.matches(url), F.lit(False))
+        named = F.when(fits, s.name).otherwise(named)
+        program = F.when(fits, s.program(url) if s.program else none).otherwise(program)
+        series = F.when(fits, s.series(url) if s.series else none).otherwise(series)
+    for b in reversed([*backends, *BACKENDS]):
+        reader = F.when(F.coalesce(b.reads(url, encrypted), F.lit(False)), b.name).otherwise(reader)
+    return F.struct(named.alias("service"), program.alias("program"), series.alias("series"), reader.alias("backend"))
+
+
 EPISODES = {
     "nrk": "seasons ARRAY<STRUCT<seasonNumber: INT, episodes: ARRAY<STRUCT<id: STRING, title: STRING, episodeNumber: INT, duration: STRING>>>>",
     "svt": "associatedContent ARRAY<STRUCT<items: ARRAY<STRUCT<item: STRUCT<id: STRING, videoSvtId: STRING, name: STRING, positionInSeason: INT, season: INT, duration: BIGINT>>>>>",

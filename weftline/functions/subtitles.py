@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,17 @@ def transcript(entries: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: _cat(F.coalesce(e["speaker"], F.lit("Speaker")), ": ", F.coalesce(e["text"], F.lit("")), "\n")), "")
 
 
+GENERATORS = {"srt": srt, "vtt": vtt, "txt": transcript}
+
+
+def generated(kind: Column, entries: Column, also: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """The entries in the format that each row names, by generators of one's own (asked first) or the built-in ones; null for others."""
+    out = F.lit(None).cast("string")
+    for name, make in {**GENERATORS, **(also or {})}.items():
+        out = F.when(kind == name, make(entries)).otherwise(out)
+    return out
+
+
 def escape_ass(text: Column) -> Column:
     for a, b in [("\\", "\\\\"), ("{", "\\{"), ("}", "\\}"), ("\n", "\\N")]:
         text = F.replace(text, F.lit(a), F.lit(b))

@@ -60,3 +60,20 @@ def stream_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = [F.when(k % 4 == i, f"c{i}") for i in (1, 2, 3)]
     cards = S.first_filled(F.when(k % 3 != 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("b")))
     return table(spark, sf_dir, "supplier").select("s_suppkey", S.manifest(assets, ["HLS"]).alias("manifest"), S.picture(images).alias("picture"), F.coalesce(*titles).alias("title"), F.get(cards, F.lit(0)).alias("cards"))
+
+
+OWN_SERVICES = [S.Service("magazine", lambda u: F.contains(u, F.lit("//blog.")), lambda u: F.regexp_extract(u, r"/([0-9]+)[^0-9]*$", 1)), S.Service("dr", lambda u: F.contains(u, F.lit("/drtv/live/")))]
+OWN_BACKENDS = [S.Backend("pages", lambda u, e: F.endswith(u, F.lit(".html")))]
+
+
+@PAIRS.add(r"""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, page_id % 7 AS k, CASE page_id % 7 WHEN 0 THEN 'https://tv.nrk.no/program/' || page_id || '?from=' || url WHEN 1 THEN url || '/live.m3u8' WHEN 2 THEN 'https://www.dr.dk/drtv/live/' || page_id WHEN 3 THEN NULL ELSE url END AS u, page_id % 2 = 0 AS enc FROM pages)
+SELECT page_id, u AS url, CASE WHEN k = 3 THEN NULL WHEN contains(u, '//blog.') THEN 'magazine' WHEN k = 2 THEN 'dr' WHEN k = 0 THEN 'nrk' WHEN k = 1 THEN 'generic' END AS service,
+ CASE WHEN k = 3 THEN NULL WHEN contains(u, '//blog.') THEN regexp_extract(u, '/([0-9]+)[^0-9]*$', 1) WHEN k = 0 THEN CAST(page_id AS VARCHAR) END AS program, CASE WHEN k = 0 AND NOT contains(u, '//blog.') THEN regexp_extract(regexp_replace(u, '(/\?[^/]*|/)+$', ''), '([^/?]*)(?:\?[^/]*)?$', 1) END AS series,
+ CASE WHEN k = 3 THEN NULL WHEN ends_with(u, '.html') THEN 'pages' WHEN NOT enc AND contains(u, '.m3u8') THEN 'native' WHEN k IN (0, 2) THEN 'streamlink' ELSE 'ffmpeg' END AS backend FROM u""".replace("\\", "\\"))
+def routed_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' urls, some as a service's, to services and backends of one's own and built in."""
+    k = F.col("page_id")
+    i = k.cast("string")
+    url = F.when(k % 7 == 0, F.concat(F.lit("https://tv.nrk.no/program/"), i, F.lit("?from="), "url")).when(k % 7 == 1, F.concat("url", F.lit("/live.m3u8"))).when(k % 7 == 2, F.concat(F.lit("https://www.dr.dk/drtv/live/"), i)).when(k % 7 != 3, F.col("url"))
+    df = table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+    return df.select("page_id", "url", S.routed(F.col("url"), k % 2 == 0, OWN_SERVICES, OWN_BACKENDS).alias("r")).select("page_id", "url", "r.*")
