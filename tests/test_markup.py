@@ -151,3 +151,9 @@ def test_command_line(spark, sf, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "out")).count() > 0
     with pytest.raises(SystemExit):
         main(["strip_tags"])
+
+
+def test_boilerplate_of_both_tiers(spark):
+    lines = ["Skip to content", "a cookie", "[cookie](x)", "© x", "Copyright", "--", "é", "·", "a·", "—", "plain", "x](y)", "PRIVACY POLICY", "7", "漢"]
+    got = spark.createDataFrame([(x,) for x in lines], "l string").select(html.is_boilerplate(F.col("l")).alias("b")).collect()
+    assert [r.b for r in got] == [html.boilerplate(x) for x in lines]

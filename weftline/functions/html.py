@@ -22,7 +22,7 @@ def decode_entities(text: Column) -> Column:
 def _replaced(html: Column, begin: str, rest: str, by: str) -> Column:
     """What begins and has its rest, replaced. Where the rest is missing, nothing behind matches either: there the page's end is taken as
     it is in one step, so that a search does not go to the end from every beginning."""
-    return F.regexp_replace(html, f"(?is){begin}{rest}|({begin}.*)$", f"{by}$1")
+    return F.regexp_replace(html, f"(?is){begin}(?:{rest}|(?<=({begin}))(.*)$)", f"{by}$1$2")
 
 
 def raw_text(html: Column) -> Column:
@@ -45,20 +45,29 @@ def trimmed_lines(text: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def is_boilerplate(line: Column) -> Column:
-    """Navigation and legal lines, unless they hold a markdown link. Byte lengths count for the shortest ones."""
-    low = F.lower(line)
-    # The phrases and prefixes that mark a line.
-    phrases = ["skip to content", "cookie", "privacy policy", "terms of service"]
-    prefixes = ["©", "copyright"]
+# The phrases and prefixes that mark a line.
+PHRASES = ["skip to content", "cookie", "privacy policy", "terms of service"]
+PREFIXES = ["©", "copyright"]
+
+
+def is_boilerplate(line: Column, low: Column | None = None) -> Column:
+    """Navigation and legal lines, unless they hold a markdown link. Byte lengths count for the shortest ones. low: the line in lower case."""
+    low = F.lower(line) if low is None else low
     short = (F.octet_length(line) < 3) & ~low.rlike(r"[\p{L}\p{N}]")
     named = F.lit(False)
-    for x in phrases:
+    for x in PHRASES:
         named = named | F.contains(low, F.lit(x))
-    for x in prefixes:
+    for x in PREFIXES:
         named = named | F.startswith(low, F.lit(x))
     return ~F.contains(line, F.lit("](")) & (named | short)
 
 
+def boilerplate(line: str) -> bool:
+    """The same of one line."""
+    low = line.lower()
+    return "](" not in line and (any(x in low for x in PHRASES) or low.startswith(tuple(PREFIXES)) or (len(line.encode()) < 3 and not any(c.isalnum() for c in low)))
+
+
 def page_lines(html: Column) -> Column:
-    return F.filter(trimmed_lines(raw_text(html)), lambda x: ~is_boilerplate(x))
+    both = F.transform(trimmed_lines(raw_text(html)), lambda x: F.struct(x.alias("line"), F.lower(x).alias("low")))  # lower case once a line
+    return F.transform(F.filter(both, lambda x: ~is_boilerplate(x["line"], x["low"])), lambda x: x["line"])

@@ -202,9 +202,10 @@ def markdown(html: Column) -> Column:
 
     @F.arrow_udf("string")
     def run(batch: pa.Array) -> pa.Array:
-        return pa.array([markdown_of(x) for x in batch.to_pylist()], pa.string())
+        pages = (markdown_of(x) for x in batch.to_pylist())
+        return pa.array([None if x is None else "\n".join(line for line in x.split("\n") if not H.boilerplate(line)) for x in pages], pa.string())
 
-    return F.array_join(F.filter(F.split(run(html), "\n"), lambda x: (x != "") & ~H.is_boilerplate(x)), "\n")
+    return run(html)
 
 
 def forms(html: Column) -> Column:
