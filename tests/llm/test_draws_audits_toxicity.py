@@ -115,9 +115,9 @@ def audited(docs, a):
     return sorted(out)
 
 
-@pytest.mark.parametrize("a", [divergence.Audit(), divergence.Audit(least=2, top=3, shard_keys=3, block=2, held_bytes=600, held_keys=20, slots=4)])
+@pytest.mark.parametrize("a", [divergence.Audit(), divergence.Audit(least=2, top=3, shard_keys=40, block=2, held_bytes=40_000, held_keys=600, slots=4)])
 def test_audit(spark, odd_docs, some_docs, a):
-    extra = some_docs.limit(40) if a.block == 2 else some_docs
+    extra = some_docs.limit(25) if a.block == 2 else some_docs
     for docs in (odd_docs, extra):
         docs = spark.createDataFrame(docs.collect(), docs.schema)
         got = sorted(map(tuple, divergence.report(docs, a).collect()))
