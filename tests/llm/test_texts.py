@@ -199,7 +199,7 @@ def fill(sizes, total, most=3):
 @pytest.mark.parametrize("which", ["odd_docs", "some_docs", "no_docs"])
 def test_mixing(which, request):
     docs = request.getfixturevalue(which)
-    config = mixing.Mix(rows_per_range=7)
+    config = mixing.Mix(rows_per_range=7, ranges_per_block=4)
     got = mixing.assign(docs, config).collect()
     sizes, per_doc = Counter(), {}
     for d in docs.collect():

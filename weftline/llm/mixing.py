@@ -1,7 +1,8 @@
 """Mixing sources to target weights.
 
 Every row gets a hash-random key; a source's key range is cut into equal ranges of about ``rows_per_range`` rows, whose
-token counts are summed and run into prefix sums. That places a source's cut in one range; whole epochs and the ranges
+token counts are summed and run into prefix sums, first over blocks of ranges, then over the ranges of the cut's block. That
+places a source's cut in one range; whole epochs and the ranges
 before the cut are taken whole, and only the range with the cut is sorted by row, up to the exact budget. So no source
 is ever sorted in one task, however large. A row at the cut is taken in part, by words from its start.
 
@@ -27,11 +28,13 @@ class Mix:
     most: int = 3  # times its size that a source may give
     seed: int = 17
     rows_per_range: int = 1000
+    ranges_per_block: int = 1000
 
 
 def with_sizes(docs: DataFrame, mix: Mix = Mix(), text: str = "text") -> DataFrame:
-    """Adds ``size`` (words) and ``_key`` (63 bits from the seed, the id and the text)."""
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed), F.col("doc_id"), F.xxhash64(F.col(text))), 1)
+    """Adds ``size`` (words) and ``_key`` (60 random bits from the seed, the id and the text, above three of zero)."""
+    told = F.concat_ws(":", F.lit(str(mix.seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    key = F.shiftleft(F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("long"), 3)
     return docs.withColumn("size", F.size(words_of(F.col(text))).cast("long")).withColumn("_key", key)
 
 
@@ -72,9 +75,16 @@ def plan(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     goals = write_table(goals.withColumn("n_ranges", F.ceil(F.col("n_rows") / mix.rows_per_range).cast("long")), "goals")
     slim = goals.select(F.col("source").alias("_s"), "rank", "n_ranges")
     ranges = sized.join(slim, F.col("source").eqNullSafe(F.col("_s"))).groupBy("rank", _range(F.col("n_ranges")).alias("range")).agg(F.sum("size").alias("n"))
-    ordered = Window.partitionBy("rank").orderBy("range")
-    prefix = ranges.withColumn("upto", F.sum("n").over(ordered)).withColumn("before", F.col("upto") - F.col("n"))
-    at = prefix.join(goals.select("rank", "rest"), "rank").filter("before <= rest and rest < upto").groupBy("rank").agg(F.min("range").alias("cut"), F.min("before").alias("before"))
+    ranges = write_table(ranges.withColumn("block", F.expr(f"range div {mix.ranges_per_block}")), "ranges")
+
+    def held(parts: DataFrame, by: str) -> DataFrame:
+        """Of each source the part with the cut: the one in which the remainder, counted from the first part's start, ends."""
+        run = parts.withColumn("upto", F.sum("n").over(Window.partitionBy("rank").orderBy(by))).withColumn("before", F.col("upto") - F.col("n"))
+        return run.filter("before <= rest and rest < upto")
+
+    blocks = held(ranges.groupBy("rank", "block").agg(F.sum("n").alias("n")).join(goals.select("rank", "rest"), "rank"), "block")
+    near = ranges.join(blocks.select("rank", "block", F.col("before").alias("_ahead"), (F.col("rest") - F.col("before")).alias("rest")), ["rank", "block"])
+    at = held(near, "range").select("rank", F.col("range").alias("cut"), (F.col("_ahead") + F.col("before")).alias("before"))
     # A remainder of nothing, or a source without words, has no cut: everything lies behind it.
     done = goals.join(at, "rank", "left").withColumns({"cut": F.coalesce("cut", F.lit(-1)), "before": F.coalesce("before", F.lit(0))})
     return write_table(done, "plan")

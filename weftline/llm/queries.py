@@ -116,4 +116,16 @@ term AS (SELECT lang, source, w AS item, p - q AS value, 'term' AS part FROM gp
 every AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM every WHERE part = 'pair' OR rank <= 50
 """
-ORACLES: dict[str, str] = {"op11_importance_resampling": OP11_SQL, "op12_divergence_audit": OP12_SQL}
+OP5_SQL = r"""
+WITH docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM docs GROUP BY source),
+total AS (SELECT sum(source_size) AS goal FROM s),
+level AS (SELECT a.source, sum(least(3 * b.source_size * a.w, 3 * a.source_size * b.w)) AS words FROM s a, s b GROUP BY a.source),
+f AS (SELECT s.source, source_size, w, words < goal * w AS is_full FROM s JOIN level ON s.source IS NOT DISTINCT FROM level.source, total),
+rest AS (SELECT CAST(goal - coalesce((SELECT sum(3 * source_size) FROM f WHERE is_full), 0) AS DOUBLE) AS words, (SELECT sum(w) FROM f WHERE NOT is_full) AS w FROM total),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(3 * source_size AS DOUBLE) ELSE words * f.w / CAST(rest.w AS DOUBLE) END AS target FROM f, rest),
+e AS (SELECT *, CAST(floor(target) AS BIGINT) AS budget, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
+p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS start FROM docs)
+SELECT doc_id, size, source_size, target, CAST(size * epochs + greatest(0, least(size, budget - epochs * source_size - start)) AS BIGINT) AS taken, p.source FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
+"""
+ORACLES: dict[str, str] = {"op5_source_mixing": OP5_SQL, "op11_importance_resampling": OP11_SQL, "op12_divergence_audit": OP12_SQL}
