@@ -422,3 +422,28 @@ def test_license_whole_texts(spark):
         assert label in got[i].labels.split(","), (label, got[i])
     assert got[100].labels == got[101].labels == ""
     assert got[200].n_base == 100_000 and got[200].labels == "apache"
+
+
+def test_bpe_chunks_stay_the_same_size(spark, tmp_path):
+    """A chunk's rows and bytes do not grow with the input; parts of shards give the same ids."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    text = " ".join("".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(100_000))
+    pattern, got = queries.vocabulary().pattern, {}
+    for times in (1, 10, 1000):
+        shards, parts = bpe.Shards().counts(2 * 10**10 * times)
+        [rows] = bpe._word_rows(iter([pa.RecordBatch.from_arrays([pa.array([text])], names=["_text"])]), pattern, 4_000_000, shards, parts)
+        got[times] = len(rows), sum(len(x) for c in ("codes", "sizes", "words") for x in rows.column(c).to_pylist())
+        assert len({x // shards for x in rows.column("shard").to_pylist()}) == 1
+    assert got[1] == got[10] == got[1000] and got[1][0] <= 1024
+    assert bpe.Shards().counts(0) == (64, 1) and bpe.Shards().counts(10**12) == (1024, 1) and bpe.Shards().counts(10**14) == (1024, 98)
+
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(i, text[i : i + 999]) for i in range(0, 60_000, 999)], "doc_id long, text string").repartition(3).write.parquet(path)
+    docs, vocabulary = spark.read.parquet(path), queries.vocabulary()
+    few = bpe.encode(docs, vocabulary, ["doc_id"], chunk_chars=2_000, sharding=bpe.Shards(chars=10_000, least=2, most=4, part_chars=3_000))
+    plain = bpe.encode(docs, vocabulary, ["doc_id"])
+    assert {(x.doc_id, *x.ids) for x in few.collect()} == {(x.doc_id, *x.ids) for x in plain.collect()}

@@ -7,6 +7,10 @@ join the chunk's texts, which are put together by position. So what is shuffled
 and a compressed code for each position, never a row for each position, and a word that every text holds comes once for
 each chunk. Words and codes travel packed: a chunk has a row for each shard, not for each word.
 
+Shards follow the input's characters, so that a shard's dictionary stays small, and are at most ``Shards.most``, so that a chunk has no more
+rows and bytes however large the input. Where a shard would get the words of more than ``Shards.part_chars`` characters, its chunks are dealt to several
+tasks, each of which encodes a distinct word once: up to 10^12 characters every word is encoded once in all, beyond that once for each such part.
+
 A chunk is named by a digest of its place in the input and of what it holds, so that copies, however many, are chunks of
 their own. If the input's rows came in other order or partitions when they are read for the second time, the names would differ, and encoding stops with an error instead of mixing chunks up: pass a table at rest.
 
@@ -55,6 +59,7 @@ def _encoder(vocabulary: Vocabulary):
 
 
 PLAIN = 0x250  # code points below are Latin
+KNOWN = 2_000_000  # words that a task keeps the ids of
 
 
 @lru_cache(maxsize=2)
@@ -155,8 +160,8 @@ def _coded(texts: list[str], place: tuple[int, int], pattern: str, keep: bool) -
     return name.digest(), codes, placed
 
 
-def _word_rows(batches: Iterator, pattern: str, size: int, shards: int) -> Iterator:
-    """(shard, chunk, codes, sizes, words) for the words that each chunk has for each shard."""
+def _word_rows(batches: Iterator, pattern: str, size: int, shards: int, parts: int = 1) -> Iterator:
+    """(shard, chunk, codes, sizes, words) for the words that each chunk has for each shard; a chunk belongs to one part of all shards."""
     import pyarrow as pa
     import zstandard
 
@@ -169,13 +174,15 @@ def _word_rows(batches: Iterator, pattern: str, size: int, shards: int) -> Itera
             own = dealt.setdefault(zlib.crc32(raw) % shards, ([], []))
             own[0].append(c)
             own[1].append(raw)
-        rows = [(i, name, _pack(c), _pack([len(x) for x in w]), zip_words(b"".join(w))) for i, (c, w) in dealt.items()]
+        first = shards * (int.from_bytes(name[:4], "little") % parts)
+        rows = [(first + i, name, _pack(c), _pack([len(x) for x in w]), zip_words(b"".join(w))) for i, (c, w) in dealt.items()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], names=["shard", "chunk", "codes", "sizes", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], names=["shard", "chunk", "codes", "sizes", "words"])
 
 
 def _answers(batches: Iterator, vocabulary: Vocabulary) -> Iterator:
-    """(chunk, codes, sizes, ids) for each row of words; rows come sorted by shard, and a word is encoded once in its shard."""
+    """(chunk, codes, sizes, ids) for each row of words; rows come sorted by shard, and a word is encoded once in its shard, unless that has
+    more words than a task should keep."""
     import pyarrow as pa
     import zstandard
 
@@ -184,7 +191,7 @@ def _answers(batches: Iterator, vocabulary: Vocabulary) -> Iterator:
     for batch in batches:
         sizes_out, ids_out = [], []
         for shard, sizes, words in zip(*(batch.column(c).to_pylist() for c in ("shard", "sizes", "words")), strict=True):
-            if shard != last:
+            if shard != last or len(known) > KNOWN:
                 last, known = shard, {}
             raw, at, flat, counts = unzip(words), 0, [], []
             for n in _unpack(sizes).tolist():
@@ -235,21 +242,31 @@ def _together(left, right):
     return left.select(["_row"]).append_column("ids", ids)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", chunk_chars: int = 4_000_000, shard_chars: int = 16_000_000) -> DataFrame:
-    """The columns of ``keep`` and ``ids``: array<int>, for every row of a table at rest.
+@dataclass(frozen=True)
+class Shards:
+    chars: int = 16_000_000  # of text for each shard, up to the most of them
+    least: int = 64
+    most: int = 1024  # and so the most rows of a chunk
+    part_chars: int = 1_000_000_000  # of text, for each shard, that a task's words should stem from
 
-    There are as many shards as ``shard_chars`` fits into the texts' characters, so that a shard's dictionary and what its task reads
-    stay the same at every size; a chunk has a row for each shard that it has a word of.
-    """
+    def counts(self, chars: int) -> tuple[int, int]:
+        """How many shards, and how many parts of each."""
+        n = min(self.most, max(self.least, -(-chars // self.chars)))
+        return n, max(1, -(-chars // (n * self.part_chars)))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", chunk_chars: int = 4_000_000, sharding: Shards = Shards()) -> DataFrame:
+    """The columns of ``keep`` and ``ids``: array<int>, for every row of a table at rest. The number of characters decides only how work is
+    dealt; partitions are the session's."""
     total = docs.agg(F.sum(F.length(F.col(text).cast("string")))).first()[0] or 0
-    shards = max(8, -(-total // shard_chars))
+    shards, parts = sharding.counts(total)
     pattern = vocabulary.pattern
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("_none"))
     source = docs.select(row.alias("_row"), F.col(text).cast("string").alias("_text"))
     row_type = source.schema["_row"].dataType
-    words = source.mapInArrow(lambda it: _word_rows(it, pattern, chunk_chars, shards), "shard int, chunk binary, codes binary, sizes binary, words binary")
-    told = words.repartition(shards // 2, "shard").sortWithinPartitions("shard").mapInArrow(lambda it: _answers(it, held.value), "chunk binary, codes binary, sizes binary, ids binary")
+    words = source.mapInArrow(lambda it: _word_rows(it, pattern, chunk_chars, shards, parts), "shard long, chunk binary, codes binary, sizes binary, words binary")
+    told = words.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: _answers(it, held.value), "chunk binary, codes binary, sizes binary, ids binary")
     placed = source.mapInArrow(lambda it: _position_rows(it, pattern, chunk_chars), StructType([StructField("chunk", BinaryType()), StructField("_row", row_type), StructField("codes", BinaryType())]))
     both = placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda left, right: _together(left, right), StructType([StructField("_row", row_type), StructField("ids", ArrayType(IntegerType()))]))
     return both.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], "ids")
