@@ -6,7 +6,8 @@ logarithm of the number of vectors, so that a bucket holds about as many unlike
 of tables follows from the wanted recall at the threshold itself (pairs nearer than that are found more surely).
 
 Equal vectors are one class from the start. A bucket with many classes is split in blocks, each pair of blocks being a
-unit of its own, so no task holds more than two blocks. A unit emits for each class the weight of its links and one
+unit of its own, so no task holds more than two blocks. Units first see sketches, the signs of random projections, which differ in few bits
+for near vectors; a vector itself is sent only to those units where some sketch is near enough to its own. A unit emits for each class the weight of its links and one
 link to its component's root, never the pairs; a pair met in several tables counts in the first only.
 
 Defined results: null, zero, and non-finite vectors and those with null components link with nothing; vectors of
@@ -34,6 +35,8 @@ class PStable:
     miss: float = 0.02  # chance that a pair at the threshold shares no bucket
     unlike: int = 512  # orthogonal vectors to expect in a bucket: more of them, fewer tables
     block: int = 1024  # classes that a unit compares with as many others
+    bits: int = 256  # of a sketch
+    unseen: float = 1e-9  # chance that the sketches of a pair at the threshold differ too much
     seed: int = 23
 
     def meets(self, distance: float) -> float:
@@ -47,6 +50,14 @@ class PStable:
         p = self.meets(math.sqrt(2 - 2 * self.cosine)) ** k
         return k, max(1, math.ceil(math.log(self.miss) / math.log1p(-p)))
 
+    def differing(self) -> int:
+        """The most bits in which sketches of a pair may differ: each does with the chance angle / pi."""
+        p, left, k = math.acos(self.cosine) / math.pi, 1.0, -1
+        while left > self.unseen and k < self.bits:
+            k += 1
+            left -= math.comb(self.bits, k) * p**k * (1 - p) ** (self.bits - k)
+        return k
+
 
 GRID = 2.0**20  # vectors and projections are rounded to this for hashing, so that sums are exact and every task finds the same buckets
 
@@ -72,6 +83,21 @@ class _Hasher:
         return ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+class _Sketcher:
+    """Signs of random projections, as packed bits; a length has projections of its own."""
+
+    def __init__(self, config: PStable) -> None:
+        self.bits, self.seed, self.cache = config.bits, config.seed, {}
+
+    def __call__(self, x):
+        import numpy as np
+
+        d = x.shape[1]
+        if d not in self.cache:
+            self.cache[d] = np.random.default_rng([self.seed, d, 1]).standard_normal((d, self.bits))
+        return np.packbits(x @ self.cache[d] > 0, axis=1)
+
+
 def _unit_length(x):
     """Divided by the largest component first: squares of tiny or huge components neither vanish nor overflow."""
     import numpy as np
@@ -81,22 +107,23 @@ def _unit_length(x):
 
 
 def _signatures(batches: Iterator, shape: tuple[int, int], config: PStable) -> Iterator:
-    """Adds to each class the buckets of all tables."""
+    """The sketch and the buckets of all tables for each class."""
     import numpy as np
     import pyarrow as pa
 
-    hasher, tables = _Hasher(shape, config), shape[1]
+    hasher, sketcher, tables = _Hasher(shape, config), _Sketcher(config), shape[1]
     for batch in batches:
         vectors = batch.column("e")
         sizes = np.diff(vectors.offsets.to_numpy())
         flat, starts = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64), vectors.offsets.to_numpy()[:-1]
-        out = np.empty((len(sizes), tables), dtype=np.int32)
+        out, sketches = np.empty((len(sizes), tables), dtype=np.int32), np.empty((len(sizes), -(-config.bits // 8)), dtype=np.uint8)
         for d in np.unique(sizes):
             own = np.flatnonzero(sizes == d)
             for part in np.array_split(own, max(1, len(own) // 1024)):
-                out[part] = hasher(_unit_length(flat[starts[part][:, None] + np.arange(d)]))
+                x = _unit_length(flat[starts[part][:, None] + np.arange(d)])
+                out[part], sketches[part] = hasher(x), sketcher(x)
         buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * tables, pa.int32()), pa.array(out.ravel(), pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), vectors, buckets], names=["h", "n", "e", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([x.tobytes() for x in sketches], pa.binary()), buckets], names=["h", "sketch", "sig"])
 
 
 def _roots(n: int, i, j):
@@ -155,42 +182,84 @@ def _unit(rows: dict, cosine: float, hasher: _Hasher) -> tuple | None:
     return rows["h"][some], weight[some].astype(np.int64), rows["h"][root[some]]
 
 
-def _compare(batches: Iterator, shape: tuple[int, int], config: PStable) -> Iterator:
-    """Runs over sorted units; a unit may go on in the next batch."""
-    import numpy as np
-    import pyarrow as pa
+UNIT = ["t", "b", "i", "j"]
 
-    hasher, cosine = _Hasher(shape, config), config.cosine
 
-    def flush(parts):
-        if sum(len(p["h"]) for p in parts) < 2:
-            return None
-        return _unit({c: np.concatenate([p[c] for p in parts]) for c in parts[0]}, cosine, hasher)
+def _units(batches: Iterator, columns: list[str]) -> Iterator[dict]:
+    """The rows of each unit with two and more, from rows sorted by unit; a unit may go on in the next batch."""
+    import numpy as np
 
-    def batch_of(found):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found]), pa.int64()) for c in range(3)], names=["h", "links", "root"])
+    def whole(parts: list[dict]) -> Iterator[dict]:
+        if sum(len(p["h"]) for p in parts) > 1:
+            yield {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
-    last, held, found = None, [], []
+    last, held = None, []
     for batch in batches:
-        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "b", "i", "j", "block", "h", "n", "e")}
-        keys = np.stack([cols["t"], cols["b"], cols["i"], cols["j"]], axis=1)
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in [*UNIT, *columns]}
+        keys = np.stack([cols[c] for c in UNIT], axis=1)
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if lo == hi:
                 continue
             key = tuple(keys[lo])
             if key != last:
-                if held and (got := flush(held)):
-                    found.append(got)
+                yield from whole(held)
                 last, held = key, []
             held.append({c: v[lo:hi] for c, v in cols.items()})
-        if sum(len(f[0]) for f in found) > 10_000:
-            yield batch_of(found)
-            found = []
-    if held and (got := flush(held)):
-        found.append(got)
-    if found:
-        yield batch_of(found)
+    yield from whole(held)
+
+
+def _batches(found: Iterator[tuple], names: list[str], types: list) -> Iterator:
+    """Arrow batches of some ten thousand rows from tuples of arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*parts, strict=True), types, strict=True)], names=names)
+
+    parts: list[tuple] = []
+    for x in found:
+        parts.append(x)
+        if sum(len(p[0]) for p in parts) > 10_000:
+            yield batch()
+            parts = []
+    if parts:
+        yield batch()
+
+
+def _near(rows: dict, config: PStable, most: int) -> tuple | None:
+    """The rows of a unit whose sketch is near that of a row they are to be compared with."""
+    import numpy as np
+
+    i, j, block = rows["i"][0], rows["j"][0], rows["block"]
+    signs = np.unpackbits(np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(block), -1), axis=1)[:, : config.bits].astype(np.float32) * 2 - 1
+    left = np.flatnonzero(block == i)
+    right = left if i == j else np.flatnonzero(block == j)
+    if not len(left) or not len(right):
+        return None
+    near = signs[left] @ signs[right].T >= config.bits - 2 * most  # equal signs less unlike ones
+    if i == j:
+        np.fill_diagonal(near, False)
+    some = np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
+    return tuple(rows[c][some] for c in ("h", *UNIT, "block")) if len(some) else None
+
+
+def _sift(batches: Iterator, config: PStable) -> Iterator:
+    """Which classes of sorted units need their vectors there."""
+    import pyarrow as pa
+
+    most = config.differing()
+    found = filter(None, (_near(rows, config, most) for rows in _units(batches, ["block", "h", "sketch"])))
+    yield from _batches(found, ["h", *UNIT, "block"], [pa.int64(), *[pa.int32()] * 5])
+
+
+def _compare(batches: Iterator, shape: tuple[int, int], config: PStable) -> Iterator:
+    """The links of sorted units."""
+    import pyarrow as pa
+
+    hasher = _Hasher(shape, config)
+    found = filter(None, (_unit(rows, config.cosine, hasher) for rows in _units(batches, ["block", "h", "n", "e"])))
+    yield from _batches(found, ["h", "links", "root"], [pa.int64()] * 3)
 
 
 def link(vectors: DataFrame, config: PStable = PStable(), vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -204,17 +273,17 @@ def link(vectors: DataFrame, config: PStable = PStable(), vec_id: str = "vec_id"
     rows = every.filter("h is not null")
     classes = write_table(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first("e").alias("e")), "classes")
     shape = config.shape(classes.count())
-    e_type = dict(classes.dtypes)["e"]
-    hashed = classes.select("h", "n", "e").mapInArrow(lambda it: _signatures(it, shape, config), f"h long, n long, e {e_type}, sig array<int>")
-    hashed = write_table(hashed, "hashed")
-    placed = hashed.select("h", F.posexplode("sig").alias("t", "b"))
+    hashed = classes.select("h", "e").mapInArrow(lambda it: _signatures(it, shape, config), "h long, sketch binary, sig array<int>")
+    placed = write_table(hashed, "hashed").select("h", "sketch", F.posexplode("sig").alias("t", "b"))
     crowded = placed.groupBy("t", "b").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
     crowded = write_table(crowded.withColumn("blocks", F.ceil(F.col("m") / config.block).cast("int")).drop("m"), "crowded")
-    # Who meets where is found without the vectors, which then come once for each unit of their class.
+    # Who meets where is found by sketches; vectors come once for each unit in which their class is near another.
     met = placed.join(crowded, ["t", "b"]).withColumn("block", F.pmod(F.hash("h"), F.col("blocks")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = met.select("h", "t", "b", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    found = units.join(classes.select("h", "n", "e"), "h").repartition("t", "b", "i", "j").sortWithinPartitions("t", "b", "i", "j")
+    units = met.select("h", "sketch", "t", "b", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), F.col("block").cast("int").alias("block"))
+    by_unit = lambda df: df.repartition(*UNIT).sortWithinPartitions(*UNIT)
+    near = write_table(by_unit(units).mapInArrow(lambda it: _sift(it, config), "h long, t int, b int, i int, j int, block int"), "near")
+    found = by_unit(near.join(classes.select("h", "n", "e"), "h"))
     found = write_table(found.mapInArrow(lambda it: _compare(it, shape, config), "h long, links long, root long"), "found")
     roots = components(found.select(F.col("h").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("h").agg(F.sum("links").alias("links"))
