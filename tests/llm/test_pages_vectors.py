@@ -195,3 +195,34 @@ def test_rare_languages_have_tables(spark):
     rows = [(i, "common words of the many", "aa") for i in range(3000)] + [(3000 + i, "seltene Worte der wenigen", "bb") for i in range(2)] + [(4000, "mots uniques", "cc")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert langid.fit_text(docs, langid.Fusion(sample=20, each=10)).languages == ("aa", "bb", "cc")
+
+
+def test_languages_with_junk_labels(spark):
+    """Only the languages with most documents have a table, ties by name; pages never get another one."""
+    names = ["aa"] * 5 + ["bb"] * 4 + ["cc"] * 4 + ["dd"] * 4 + [f"x{i}" for i in range(30)] + [None]
+    docs = spark.createDataFrame([(i, x, f"{x} word {x}{x}") for i, x in enumerate(names)], "doc_id long, lang string, text string")
+    model = langid.fit_text(docs, langid.Fusion(languages=3))
+    assert model.languages == ("aa", "bb", "cc") and model.table.shape == (3, langid.Fusion().buckets)
+    pages = spark.createDataFrame([(1, "https://h.aa/", "<p>dd word dddd"), (2, None, None)], "page_id long, url string, html string")
+    assert {r.lang for r in langid.identify(pages, model).collect()} <= {"aa", "bb", "cc"}
+
+
+def test_vectors_sent_where_sketches_are_near(spark):
+    """Vectors with no other near them are sent nowhere; those of a group are, and no link is lost by sketches."""
+    import numpy as np
+
+    from weftline.llm import _shared
+
+    config, rng = embeddings.PStable(miss=1e-6, block=64), np.random.default_rng(3)
+    lone, centre = rng.standard_normal((600, 64)), rng.standard_normal(64)
+    group = centre + 0.2 * rng.standard_normal((100, 64))
+    rows = [(i, x.tolist()) for i, x in enumerate(np.vstack([lone, group]).astype(np.float32))]
+    got = {r.vec_id: r.n_links for r in embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), config).collect()}
+    near = spark.read.parquet([p for p in _shared._written if p.endswith("/near")][-1])
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert [got[i] for i in range(len(rows))] == ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()
+    assert near.select("h").distinct().count() <= 110
+    p = np.arccos(0.9) / np.pi
+    draws = rng.binomial(256, p, 1_000_000)
+    assert draws.max() <= config.differing() < 100

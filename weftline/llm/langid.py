@@ -6,6 +6,9 @@ domain's, and that by all pages'. The trigram tables are fitted on a bounded sam
 else is grouped counts over all pages, with the text's own verdict in the place of the unknown truth and a page's own
 count taken out of its host's.
 
+A column of labels may hold junk, so only the languages with most documents have a table (``languages``, ties to the lesser name), and
+the others are no answers; tables take at most ``languages`` times ``buckets`` numbers, whatever the labels hold.
+
 Defined results: a null or empty page has no text evidence and goes by the other three; no declaration and no host are
 values of their own; without labelled documents nothing is known and the language is null; repeated rows are judged
 alike; an empty table gives no rows; extra columns are ignored by ``identify``.
@@ -29,6 +32,7 @@ from .urls import DOMAIN, parts
 class Fusion:
     sample: int = 4000  # labelled documents that fit the trigram tables, about; languages have their shares of them
     each: int = 200  # but so many of every language at least, or all it has
+    languages: int = 200  # that have a table: those with most documents, as the tables are part of each task
     buckets: int = 16_384
     smoothing: float = 0.5  # added to each trigram bucket
     temper: float = 0.2  # of the text's log-likelihood: trigrams overlap and are no independent witnesses
@@ -61,7 +65,7 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, config: Fusion = Fusion(), text: str = "text", lang: str = "lang") -> TextModel:
-    """Trigram tables from those labelled documents of each language that come first by a hash; every language with a document has a
+    """Trigram tables from those labelled documents of each language that come first by a hash; the ``languages`` with most documents have a
     table. Rows beyond a bound that leaves half as many again go where they are read, so that only samples are ranked. Counts of a language's buckets come back: languages times buckets, whatever the sample holds."""
     import numpy as np
 
@@ -69,11 +73,12 @@ def fit_text(docs: DataFrame, config: Fusion = Fusion(), text: str = "text", lan
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     more = [F.col("doc_id")] if "doc_id" in docs.columns else []  # copies of a text are then told apart
     known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), *more)
-    held = {x["lang"]: x["count"] for x in known.groupBy("lang").count().collect()}  # a row for each language
+    held = {x["lang"]: x["count"] for x in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.languages).collect()}
     total = sum(held.values())
     wanted = {x: max(config.each, -(-config.sample * n // total)) for x, n in held.items()}
     below = {x: int(2**63 * min(1.0, 1.5 * wanted[x] / n)) - 1 if n > 2 * wanted[x] else 2**63 - 1 for x, n in held.items()}
     of = lambda values: F.create_map(*[F.lit(y) for x in values.items() for y in x])[F.col("lang")] if values else F.lit(0)
+    known = known.filter(F.col("lang").isin(*held)) if held else known.limit(0)
     near = known.withColumn("h", F.shiftrightunsigned(F.xxhash64(*known.columns), 1)).filter(F.col("h") <= of(below))
     sample = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= of(wanted)).select("lang", "text")
 
