@@ -402,6 +402,23 @@ def queries_written(df, name):
     return write_table(df, name)
 
 
+def test_license_words_in_other_order(spark):
+    """All words of a template in another order, rare ones and key phrases included, make no label of the method."""
+    import random
+
+    rows, labels = [], {}
+    for i, (label, text, keys) in enumerate(licenses.TEMPLATES):
+        if len(words := text.split()) >= 12:
+            for seed in range(3):
+                mixed = list(words)
+                random.Random(31 * i + seed).shuffle(mixed)
+                labels[3 * i + seed] = label
+                rows.append((3 * i + seed, " ".join(mixed) + " ; " + " ; ".join(keys)))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = {i: (x, got[i].labels, got[i].score) for i, x in labels.items() if got[i].labels != got[i].base_labels}
+    assert len(labels) > 40 and not wrong
+
+
 def test_license_whole_texts(spark):
     """Whole texts with names, years and an edit filled in are known; the phrases alone are not."""
     import time

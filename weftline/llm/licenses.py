@@ -1,7 +1,7 @@
 """License scans by a positional index of rare tokens.
 
 License templates are a fixed list; the words of a template with the highest inverse document frequency in the corpus
-are its index: postings (word, template, position). A file's words that have postings vote for a template's place,
+are its index (words of its key phrases only where it has few others, so that phrase and index are evidence of their own): postings (word, template, position). A file's words that have postings vote for a template's place,
 which is the word's position less the posting's. Where enough of a template's index agrees on one place, a mandatory
 key phrase of the template is looked for in the file, and only then the label is given.
 
@@ -54,7 +54,8 @@ TEMPLATES += [(label, " ".join(re.findall("[0-9a-z]+", text.lower())), keys) for
 @dataclass(frozen=True)
 class Scan:
     rare: int = 8  # index words of each template
-    agree: float = 0.6  # share of the index, by weight, that must agree on a place
+    others: int = 4  # words a template has beside its key phrases, from which on these alone make its index
+    agree: float = 0.7  # share of the index, by weight, that must agree on a place: of 840 shuffled templates 0.6 takes 8, 0.7 none
     slack: int = 2  # words by which places may differ, at least
     words_a_slack: int = 20  # and one more for so many words of the template: names and years that are filled in move what follows
 
@@ -91,13 +92,15 @@ class Index:
 
 
 def build_index(n_docs: int, held: dict[str, int], scan: Scan = Scan()) -> Index:
-    """The highest-IDF words of every template; of equal ones the longer, then the first by name."""
+    """The highest-IDF words of every template, beside its key phrases; of equal ones the longer, then the first by name."""
     idf = lambda w: math.log((n_docs + 1) / (held.get(w, 0) + 1)) + 1
     postings: dict[str, list[tuple[int, int]]] = {}
     weights = []
-    for t, (_, text, _) in enumerate(TEMPLATES):
+    for t, (_, text, keys) in enumerate(TEMPLATES):
         words = text.split()
-        usable = sorted({w for w in words if len(w) > 1}, key=lambda w: (-idf(w), -len(w), w))[: scan.rare]
+        known = {w for w in words if len(w) > 1}
+        others = known - {w for key in keys for w in key.split()}
+        usable = sorted(others if len(others) >= scan.others else known, key=lambda w: (-idf(w), -len(w), w))[: scan.rare]
         weights.append({w: idf(w) for w in usable})
         for i, w in enumerate(words):
             if w in usable:
