@@ -182,6 +182,7 @@ def describe_factor(kind: Column) -> Column:
     """What to call a kind in a sentence; an unknown one has its own words."""
     detail = lambda text: F.concat(F.lit(text + " ("), kind["detail"], F.lit(")"))
     k = kind["kind"]
+    # What each kind is called.
     return F.when(k == "totp", "Time-based OTP (1Password)").when(k == "sms_otp", "SMS verification code").when(k == "email_otp", "Email verification code").when(k == "passkey", "Passkey/WebAuthn").when(k == "mobile_app_push", detail("Mobile app authorization")).when(k == "mobile_certificate", detail("Mobile certificate")).when(k == "external_idp", detail("External identity")).otherwise("Unknown 2FA method")
 
 
