@@ -39,3 +39,22 @@ def test_query(spark, sf, duck, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     assert got == rows_of(columns, [dict(zip(names, r, strict=True)) for r in found.fetchall()])
+
+
+def same_as_sql(spark, folder, name, table):
+    """A query over one table of a folder equals its SQL over it."""
+    df = registry.QUERIES[name](spark, str(folder))
+    columns = sorted(df.columns)
+    c = duckdb.connect()
+    c.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    found = c.execute(registry.ORACLES[name])
+    names = [d[0] for d in found.description]
+    want = rows_of(columns, [dict(zip(names, r, strict=True)) for r in found.fetchall()])
+    assert want and rows_of(columns, df.collect()) == want
+
+
+def test_days_beyond_four_digits(spark, tmp_path):
+    """Keys of a table 60 times as large give years of five digits."""
+    keys = [0, 1, 2_932_930, 2_932_931, 2_932_932, 8_999_999, 100_000_000]
+    spark.createDataFrame([(k, k % 14_999) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    same_as_sql(spark, tmp_path, "durations", "orders")

@@ -73,5 +73,11 @@ def to_ms(seconds: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), (seconds * 1000).cast("long"))
 
 
+def day(seconds: Column) -> Column:
+    """``YYYY-MM-DD`` in UTC of seconds since 1970; years beyond 9999 have more digits and no sign."""
+    date = F.date_from_unix_date(F.floor(seconds / 86400).cast("int"))
+    return F.concat(F.when(F.year(date) > 9999, F.year(date).cast("string")).otherwise(_digits(F.year(date), 4)), F.lit("-"), _two(F.month(date)), F.lit("-"), _two(F.dayofmonth(date)))
+
+
 def episode_label(season: Column, episode: Column, seconds: Column) -> Column:
     return F.concat(F.lit("S"), season.cast("string"), F.lit("E"), episode.cast("string"), F.lit(" "), F.floor(seconds / 60).cast("long").cast("string"), F.lit(":"), _two(seconds % 60))

@@ -106,5 +106,4 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda c, unit: F.concat(F.col(c).cast("string"), F.lit(unit))
     iso = F.concat(F.lit("PT"), part("h", "H"), part("m", "M"), part("s", "S"))
     spoken = F.concat(part("h", "h"), part("m", "m"), F.when(F.col("o_orderkey") % 2 == 0, part("s", "s")).otherwise(F.col("s").cast("string")))
-    day = F.date_format(F.timestamp_seconds(F.col("o_orderkey") * 86399), "yyyy-MM-dd")
-    return df.select("o_orderkey", T.iso_duration(iso).alias("iso"), T.spoken_duration(spoken).alias("spoken"), T.episode_label(F.col("h") + 1, F.col("m"), F.col("m") * 60 + F.col("s")).alias("label"), day.alias("day"))
+    return df.select("o_orderkey", T.iso_duration(iso).alias("iso"), T.spoken_duration(spoken).alias("spoken"), T.episode_label(F.col("h") + 1, F.col("m"), F.col("m") * 60 + F.col("s")).alias("label"), T.day(F.col("o_orderkey") * 86399).alias("day"))
