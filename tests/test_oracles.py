@@ -58,3 +58,11 @@ def test_days_beyond_four_digits(spark, tmp_path):
     keys = [0, 1, 2_932_930, 2_932_931, 2_932_932, 8_999_999, 100_000_000]
     spark.createDataFrame([(k, k % 14_999) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     same_as_sql(spark, tmp_path, "durations", "orders")
+
+
+def test_markdown_of_cut_references(spark, tmp_path):
+    """Titles and links are cut, some inside a reference; with no semicolon it stays as it is."""
+    page = "<!doctype html><html><head><title>{0}</title></head><body><article><h1>{0}</h1>\n<p>{0} x<br>a &lt;b&gt; &amp;lt; <a href=\"/{0}\">{0}</a></p></article></body></html>"
+    rows = [(i, page.format(x)) for i, x in enumerate(["one&&&amp", "&lt", "a &am", "&copy", "&copy; &amp;", "&amp;amp", "&amp;amp;", "&ampere;", "&"])]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    same_as_sql(spark, tmp_path, "page_markdown", "pages")
