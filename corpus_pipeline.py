@@ -35,8 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every mixed document, and the digest of what they decode to."""
-    vocabulary = queries.vocabulary()
-    df = bpe.decode(bpe.encode(docs, vocabulary, ["doc_id", "lang", "source"]), vocabulary)
+    df = bpe.round_trip(docs, queries.vocabulary(), ["doc_id", "lang", "source"])
     return df.selectExpr("doc_id", "lang", "source", "cast(size(ids) as bigint) as n_tokens", "ids", "sha2(bytes, 256) as decoded_sha256")
 
 

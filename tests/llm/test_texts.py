@@ -464,3 +464,31 @@ def test_bpe_chunks_stay_the_same_size(spark, tmp_path):
     few = bpe.encode(docs, vocabulary, ["doc_id"], chunk_chars=2_000, sharding=bpe.Shards(chars=10_000, least=2, most=4, part_chars=3_000))
     plain = bpe.encode(docs, vocabulary, ["doc_id"])
     assert {(x.doc_id, *x.ids) for x in few.collect()} == {(x.doc_id, *x.ids) for x in plain.collect()}
+
+
+def test_round_trip_holds_one_chunk(spark, some_docs, odd_docs):
+    """Ids are decoded in the task that puts them together, without a second Python worker; a task holds one chunk's texts, and long ones take no index of their size."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    vocabulary = queries.vocabulary()
+    for df in (corpus_pipeline.tokens(spark, some_docs, ""), queries.op9_bpe_roundtrip(spark, "/root/testdata/sf0.001")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "ArrowEvalPython" not in plan
+    for docs in (some_docs, odd_docs):
+        plain = bpe.decode(bpe.encode(docs, vocabulary, ["doc_id"]), vocabulary).select("doc_id", "ids", "bytes")
+        assert Counter(map(repr, bpe.round_trip(docs, vocabulary, ["doc_id"], chunk_chars=300).collect())) == Counter(map(repr, plain.collect()))
+
+    batch = pa.RecordBatch.from_arrays([pa.array([(chr(97 + i % 26) * 9_999 + " ") * 100 for i in range(40)])], names=["_text"])
+    flat, starts, sizes = np.zeros(64, np.uint8), np.zeros(9, np.int64), np.full(9, 4)
+    bpe._coded(["one two"], (0, 0), vocabulary.pattern, True)
+    for work, most in ((lambda: sum(1 for _ in bpe._word_rows(iter([batch]), vocabulary.pattern, 1_000_000, 64)), 20e6), (lambda: bpe._gather(flat, starts, sizes, np.ones(1_000_000, np.int32)), 30e6)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most

@@ -14,7 +14,8 @@ tasks, each of which encodes a distinct word once: up to 10^12 characters every
 A chunk is named by a digest of its place in the input and of what it holds, so that copies, however many, are chunks of
 their own. If the input's rows came in other order or partitions when they are read for the second time, the names would differ, and encoding stops with an error instead of mixing chunks up: pass a table at rest.
 
-Decoding gathers from the token-byte table (as many rows as the vocabulary, sent to the tasks).
+Decoding gathers from the token-byte table (as many rows as the vocabulary, sent to the tasks). Where ids and bytes are wanted, a chunk is decoded in the
+task that puts it together. A task holds the texts of one chunk at a time, beside the batch that Spark sent.
 
 Defined results: a null text is an empty one, with no ids; repeated rows each get their ids; very long texts are chunks
 of their own; an empty table gives no rows; the columns named in ``keep`` are passed on, whatever their names.
@@ -60,6 +61,7 @@ def _encoder(vocabulary: Vocabulary):
 
 PLAIN = 0x250  # code points below are Latin
 KNOWN = 2_000_000  # words that a task keeps the ids of
+PART = 1 << 16  # slices that are put together at once
 
 
 @lru_cache(maxsize=2)
@@ -118,13 +120,16 @@ def _unpack(packed: bytes):
 
 
 def _gather(flat, starts, sizes, which):
-    """The slices of ``flat`` that ``which`` names, one after the other."""
+    """The slices of ``flat`` that ``which`` names, one after the other; put together in parts, so that a long text takes little more than its result."""
     import numpy as np
 
-    n = sizes[which]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(starts[which] - (ends - n), n)]
+    parts = []
+    for i in range(0, len(which), PART):
+        at = which[i : i + PART]
+        n = sizes[at]
+        ends = np.cumsum(n)
+        parts.append(flat[np.arange(int(ends[-1])) + np.repeat(starts[at] - (ends - n), n)])
+    return parts[0] if len(parts) == 1 else np.concatenate([flat[:0], *parts])
 
 
 def _chunks(batches: Iterator, size: int) -> Iterator[tuple]:
@@ -134,13 +139,13 @@ def _chunks(batches: Iterator, size: int) -> Iterator[tuple]:
 
     task, n = TaskContext.get(), 0
     for batch in batches:
-        texts = [x or "" for x in batch.column("_text").to_pylist()]
-        begin, held = 0, 0
-        for i, x in enumerate(texts):
-            held += len(x)
-            if held >= size or i == len(texts) - 1:
-                yield batch, begin, i + 1, (task.partitionId() if task else 0, n), texts[begin : i + 1]
-                begin, held, n = i + 1, 0, n + 1
+        begin, held, texts = 0, 0, []
+        for i, x in enumerate(batch.column("_text")):  # one by one, since a batch may hold many chunks
+            texts.append(x.as_py() or "")
+            held += len(texts[-1])
+            if held >= size or i == len(batch) - 1:
+                yield batch, begin, i + 1, (task.partitionId() if task else 0, n), texts
+                begin, held, n, texts = i + 1, 0, n + 1, []
 
 
 def _coded(texts: list[str], place: tuple[int, int], pattern: str, keep: bool) -> tuple[bytes, dict[str, int], list]:
@@ -216,8 +221,16 @@ def _position_rows(batches: Iterator, pattern: str, size: int) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array([name] * (b - a), pa.binary()), batch.column("_row").slice(a, b - a), pa.array(map(_pack, placed), pa.binary())], names=["chunk", "_row", "codes"])
 
 
-def _together(left, right):
-    """A chunk's texts as ids: positions' codes looked up in what the shards answered."""
+def _bytes_of(ids, vocabulary: Vocabulary) -> bytes:
+    """What the ids stand for, from the token-byte table."""
+    import numpy as np
+
+    flat, starts, sizes = _byte_table(vocabulary)
+    return _gather(flat, starts, sizes, np.asarray(ids)).tobytes()
+
+
+def _together(left, right, vocabulary: Vocabulary | None = None):
+    """A chunk's texts as ids: positions' codes looked up in what the shards answered. With a vocabulary, also the bytes that the ids stand for."""
     import numpy as np
     import pyarrow as pa
 
@@ -231,15 +244,18 @@ def _together(left, right):
         starts[c], sizes[c] = offset + np.cumsum(k) - k, k
         offset += len(f)
     flat = np.concatenate(flat) if flat else np.array([], np.int32)
-    parts, ends = [], [0]
-    for packed in left.column("codes").to_pylist():
-        at = _unpack(packed).astype(np.int64)
+    parts, ends, decoded = [], [0], []
+    for packed in left.column("codes"):
+        at = _unpack(packed.as_py())
         if len(at) and at.max() >= n:
             raise RuntimeError("the input's rows changed between two reads; write it as a table first")
         parts.append(_gather(flat, starts, sizes, at))
         ends.append(ends[-1] + len(parts[-1]))
+        if vocabulary:
+            decoded.append(_bytes_of(parts[-1], vocabulary))
     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.array([], np.int32), pa.int32()))
-    return left.select(["_row"]).append_column("ids", ids)
+    out = left.select(["_row"]).append_column("ids", ids)
+    return out.append_column("bytes", pa.array(decoded, pa.binary())) if vocabulary else out
 
 
 @dataclass(frozen=True)
@@ -255,9 +271,8 @@ class Shards:
         return n, max(1, -(-chars // (n * self.part_chars)))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", chunk_chars: int = 4_000_000, sharding: Shards = Shards()) -> DataFrame:
-    """The columns of ``keep`` and ``ids``: array<int>, for every row of a table at rest. The number of characters decides only how work is
-    dealt; partitions are the session's."""
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str, chunk_chars: int, sharding: Shards, decoded: bool) -> DataFrame:
+    """(_row, ids) for every row, _row holding the columns of ``keep``; if decoded, with the bytes that the ids stand for."""
     total = docs.agg(F.sum(F.length(F.col(text).cast("string")))).first()[0] or 0
     shards, parts = sharding.counts(total)
     pattern = vocabulary.pattern
@@ -268,8 +283,20 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str =
     words = source.mapInArrow(lambda it: _word_rows(it, pattern, chunk_chars, shards, parts), "shard long, chunk binary, codes binary, sizes binary, words binary")
     told = words.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: _answers(it, held.value), "chunk binary, codes binary, sizes binary, ids binary")
     placed = source.mapInArrow(lambda it: _position_rows(it, pattern, chunk_chars), StructType([StructField("chunk", BinaryType()), StructField("_row", row_type), StructField("codes", BinaryType())]))
-    both = placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda left, right: _together(left, right), StructType([StructField("_row", row_type), StructField("ids", ArrayType(IntegerType()))]))
-    return both.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], "ids")
+    result = [StructField("_row", row_type), StructField("ids", ArrayType(IntegerType())), *([StructField("bytes", BinaryType())] if decoded else [])]
+    return placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda left, right: _together(left, right, held.value if decoded else None), StructType(result))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", chunk_chars: int = 4_000_000, sharding: Shards = Shards()) -> DataFrame:
+    """The columns of ``keep`` and ``ids``: array<int>, for every row of a table at rest. The number of characters decides only how work is
+    dealt; partitions are the session's."""
+    return _encoded(docs, vocabulary, keep, text, chunk_chars, sharding, False).select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], "ids")
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", chunk_chars: int = 4_000_000, sharding: Shards = Shards()) -> DataFrame:
+    """As ``decode`` of ``encode``: the columns of ``keep``, ``ids``, and ``bytes``, decoded where a chunk's ids are put together, so that ids do
+    not go to a second Python worker beside the first, in batches of many chunks."""
+    return _encoded(docs, vocabulary, keep, text, chunk_chars, sharding, True).select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], "ids", "bytes")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", to: str = "bytes") -> DataFrame:
@@ -278,18 +305,15 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", to: str
 
     @F.pandas_udf("binary")
     def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
-        flat, starts, sizes = _byte_table(held.value)
         for batch in batches:
-            yield pd.Series([b"" if x is None else _gather(flat, starts, sizes, np.asarray(x, dtype=np.int64)).tobytes() for x in batch], dtype=object)
+            yield pd.Series([b"" if x is None else _bytes_of(x, held.value) for x in batch], dtype=object)
 
     return encoded.withColumn(to, joined(F.col(ids)))
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
     """Encodes and decodes every text: the columns of ``keep``, n_tokens, and digests of the ids and of the decoded bytes."""
-    df = decode(encode(docs, vocabulary, keep), vocabulary)
+    df = round_trip(docs, vocabulary, keep)
     return df.select(*keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
