@@ -119,6 +119,15 @@ def test_near_pairs_finds_every_link(spark):
         assert rows(simhash.near_pairs(nodes, bits)) == want
 
 
+def test_offers_are_not_broadcast(spark, tmp_path):
+    """Each node makes up to 33 offers, which Spark sizes as the table of nodes, far below its threshold for broadcasts."""
+    spark.range(2000).selectExpr("id as node", "xxhash64(id) as fp").write.parquet(f"{tmp_path}/nodes")
+    found = simhash.near_pairs(spark.read.parquet(f"{tmp_path}/nodes"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 BASES = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 

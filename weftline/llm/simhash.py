@@ -85,7 +85,8 @@ def near_pairs(nodes: DataFrame, segment_bits: int = 4) -> DataFrame:
     # By the steps of both: in the same cell; one below; one below each, in different segments; two below.
     meet = F.expr("(a.step = 0 and b.step <= 0) or (a.step = -1 and b.step = -1 and a.seg <> b.seg) or (a.step = 1 and b.step = -1)")
     near = F.expr("a.fp <> b.fp and bit_count(a.fp ^ b.fp) <= 2")
-    met = a.join(b, (F.col("a.at") == F.col("b.at")) & meet & near)
+    # Spark sizes offers as the nodes they are made of and would broadcast them, up to 33 times its threshold and more in memory.
+    met = a.join(b.hint("merge"), (F.col("a.at") == F.col("b.at")) & meet & near)
     return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
