@@ -66,3 +66,21 @@ def test_markdown_of_cut_references(spark, tmp_path):
     rows = [(i, page.format(x)) for i, x in enumerate(["one&&&amp", "&lt", "a &am", "&copy", "&copy; &amp;", "&amp;amp", "&amp;amp;", "&ampere;", "&"])]
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     same_as_sql(spark, tmp_path, "page_markdown", "pages")
+
+
+def test_mastodon_without_first_word_or_text(spark, tmp_path):
+    """Ids of every kind meet texts that are null, empty or begin with a space."""
+    texts = [None, "", " ", "  lead", " y", "\n y", "word and more", "u1 x"]
+    rows = [(20 * k + i, x) for k, x in enumerate(texts) for i in range(20)] + [(-7, " a"), (-8, None), (None, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    same_as_sql(spark, tmp_path, "site_mastodon", "documents")
+
+
+def test_mastodon_names_of_records(spark):
+    """The renderer's own rule: an empty display name gives way to the username; a record without content is none."""
+    from weftline.functions import sites
+
+    record = '{"content": %s, "created_at": "d", "account": {"username": "u1", "display_name": ""}, "favourites_count": 0, "reblogs_count": 0, "replies_count": 0, "media_attachments": []}'
+    df = spark.createDataFrame([(record % x,) for x in ('"<p>x</p>"', '""', "null")], "json string")
+    got = [r.m for r in df.select(sites.render("mastodon", df.json, df.json)["markdown"].alias("m")).collect()]
+    assert got == ["## u1 (@u1)\n\nx\n\nd\n", "## u1 (@u1)\n\nd\n", None]

@@ -98,7 +98,7 @@ def _mastodon(r: Column, url: Column) -> Column:
     display = F.when(a["display_name"] == "", a["username"]).otherwise(a["display_name"])
     media = F.transform(r["media_attachments"], lambda m: _if(m["url"], "![", F.coalesce(m["description"], F.lit("Media attachment")), "](", m["url"], ")\n\n"))
     counts = _counts([(r["favourites_count"], "favourites"), (r["reblogs_count"], "boosts"), (r["replies_count"], "replies")], False)
-    return _text("## ", display, " (@", a["username"], ")\n\n", F.when(content != "", _text(content, "\n\n")).otherwise(""), _joined(media), F.when(counts != "", _text(counts, "\n")).otherwise(""), r["created_at"], "\n", _if(r["url"], "\n[View on Mastodon](", r["url"], ")\n"))
+    return _text("## ", display, " (@", a["username"], ")\n\n", F.when(content == "", "").otherwise(_text(content, "\n\n")), _joined(media), F.when(counts != "", _text(counts, "\n")).otherwise(""), r["created_at"], "\n", _if(r["url"], "\n[View on Mastodon](", r["url"], ")\n"))
 
 
 def _linkedin(r: Column, url: Column) -> Column:
